@@ -68,24 +68,23 @@ def _probes(frac: np.ndarray, mult: np.ndarray, sets: list[tuple[int, ...]]) ->
 
 def _merge(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``keep`` best distinct candidates of each query."""
-    order = np.lexsort((c, -s, q))
+    # The same pair may come from several tables and probes, with the last bits apart.
+    _, one = np.unique((q << 32) | c, return_index=True)
+    q, c, s = q[one], c[one], s[one]
+    order = np.argsort((q << 32) | ((1 - s) * (1 << 30)).astype(np.int64), kind="stable")
     q, c, s = q[order], c[order], s[order]
-    # The same pair may come from several tables, with the last bits apart: it is found by its own order.
-    pair = np.lexsort((c, q))
-    again = np.zeros(len(q), bool)
-    again[pair[1:]] = (q[pair][1:] == q[pair][:-1]) & (c[pair][1:] == c[pair][:-1])
-    q, c, s = q[~again], c[~again], s[~again]
-    first = np.searchsorted(q, q, "left")
-    ok = np.arange(len(q)) - first < keep
+    ok = np.arange(len(q)) - np.searchsorted(q, q, "left") < keep
     return q[ok], c[ok], s[ok]
 
 
-def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams, least: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, base row, similarity) of the best ``k + SLACK`` hash candidates of each query.
 
     ``base`` and ``queries`` are unit vectors in single precision. A bucket's candidates are scored
-    as one block product, small ones pair by pair; no bucket is capped.
+    as one block product, small ones pair by pair; no bucket is capped. Pairs under ``least`` are
+    left out as soon as they are scored.
     """
+    floor = least - 1e-5
     dim, keep = base.shape[1], k + SLACK
     rng = np.random.default_rng([p.seed, dim, 1])
     a = projections(dim, p.tables * p.hashes, p.seed)
@@ -101,9 +100,10 @@ def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams) ->
         own, frac = _codes(queries, a[:, part], shifts[part], p.width, mults[part])
         asked = np.concatenate([own[:, None], own[:, None] + _probes(frac, mults[part], sets)], axis=1).ravel()
         who = np.repeat(np.arange(len(queries)), len(sets) + 1)
-        low, high = np.searchsorted(code, asked, "left"), np.searchsorted(code, asked, "right")
-        hit = high > low
-        who, low, size = who[hit], low[hit], (high - low)[hit]
+        bucket, low, size = np.unique(code, return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(bucket, asked), max(len(bucket) - 1, 0))
+        hit = bucket[at] == asked if len(bucket) else np.zeros(len(asked), bool)
+        who, low, size = who[hit], low[at[hit]], size[at[hit]]
         by = np.argsort(low, kind="stable")
         who, low, size = who[by], low[by], size[by]
         starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.empty(0, np.int64)
@@ -118,9 +118,11 @@ def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams) ->
                 sims = queries[ask] @ members.T
                 if len(rows) > keep:
                     top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-                    found.append((np.repeat(ask, keep), rows[top].ravel(), np.take_along_axis(sims, top, 1).ravel()))
+                    q, c, sims = np.repeat(ask, keep), rows[top].ravel(), np.take_along_axis(sims, top, 1).ravel()
                 else:
-                    found.append((np.repeat(ask, len(rows)), np.tile(rows, len(ask)), sims.ravel()))
+                    q, c, sims = np.repeat(ask, len(rows)), np.tile(rows, len(ask)), sims.ravel()
+                near = sims >= floor
+                found.append((q[near], c[near], sims[near]))
         small = ~np.repeat(big, counts)
         who, low, size = who[small], low[small], size[small]
         for lo in range(0, len(who), 1 << 16):
@@ -130,7 +132,9 @@ def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams) ->
             c = order[np.repeat(l, n) + within]
             for x in range(0, len(q), 1 << 17):
                 qs, cs = q[x : x + (1 << 17)], c[x : x + (1 << 17)]
-                found.append((qs, cs, np.einsum("ij,ij->i", queries[qs], base[cs])))
+                sims = np.einsum("ij,ij->i", queries[qs], base[cs])
+                near = sims >= floor
+                found.append((qs[near], cs[near], sims[near]))
         best = _merge(*(np.concatenate(z) for z in zip(*found)), keep)
     return best
 

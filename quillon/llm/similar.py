@@ -36,7 +36,7 @@ def _search(k: int, least: float, params: HashParams, sure: float | None):
         asks = np.flatnonzero(table.column("_asks").to_numpy(zero_copy_only=False))
         if not len(home) or not len(asks):
             return _rows([], [], [])
-        best = candidates(x[home], x[asks], k, params)
+        best = candidates(x[home], x[asks], k, params, least)
         if sure is not None:
             best = complete(x[home], x[asks], best, k, sure)
         q, c = asks[best[0]], home[best[1]]
