@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import reference_checks
+from quillon.plans import reference_checks, rsa
 
-MODULES = (reference_checks,)
+MODULES = (reference_checks, rsa)
 QUERIES: dict = {}
 SQL: dict = {}
 for _module in MODULES:
