@@ -33,7 +33,7 @@ def image_draws(images: DataFrame, n_draws: int, n_slots: int, seed: int, replac
         slots = images.select("concept", "n", each(n_draws).alias("draw")).select("draw", "concept", "n", each(n_slots).alias("slot"))
         at = F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("concept"), F.col("slot")), F.col("n"))
         return slots.select("draw", "concept", at.alias("pos")).groupBy("draw", "concept", "pos").agg(F.count("*").alias("w"))
-    every = images.select("concept", "n", each(n_draws).alias("draw")).select("draw", "concept", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).cast("long").alias("pos"))
+    every = images.select("concept", "n", each(n_draws).alias("draw")).select("draw", "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
     place = F.row_number().over(Window.partitionBy("draw", "concept").orderBy(md5_number(F.lit(seed), F.col("draw"), F.col("concept"), F.col("pos")), "pos"))
     return every.withColumn("_k", place).where(F.col("_k") <= n_slots).select("draw", "concept", "pos", F.lit(1).cast("long").alias("w"))
 
@@ -98,7 +98,8 @@ def edge_bootstrap(edges: DataFrame, n_draws: int, seed: int = 42) -> DataFrame:
     An edge drawn w times counts w times; each model is ranked once per draw.
     """
     ids = edges.select("i", "j").distinct().withColumn("e", F.row_number().over(Window.orderBy("i", "j")) - 1)
-    slots = ids.select(F.col("e").alias("slot"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"), each(n_draws).alias("draw"))
+    slots = ids.select(F.col("e").alias("slot"), F.max("e").over(Window.partitionBy(F.lit(0))).alias("_last"))
+    slots = slots.select("slot", (F.col("_last") + 1).alias("n"), each(n_draws).alias("draw"))
     taken = slots.select("draw", F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).cast("int").alias("e")).groupBy("draw", "e").agg(F.count("*").alias("w")).join(ids, "e").drop("e")
     rows = edges.join(taken, ["i", "j"])
     # The average rank of rows that stand for w rows each.

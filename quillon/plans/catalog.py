@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import reference_checks, rsa
+from quillon.plans import inference, reference_checks, rsa
 
-MODULES = (reference_checks, rsa)
+MODULES = (reference_checks, rsa, inference)
 QUERIES: dict = {}
 SQL: dict = {}
 for _module in MODULES:
