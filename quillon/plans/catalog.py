@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import inference, reference_checks, rsa
+from quillon.plans import curation, inference, integrity, reference_checks, rsa, scalar_queries
 
-MODULES = (reference_checks, rsa, inference)
+MODULES = (reference_checks, rsa, inference, curation, integrity, scalar_queries)
 QUERIES: dict = {}
 SQL: dict = {}
 for _module in MODULES:

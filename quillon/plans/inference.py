@@ -44,7 +44,7 @@ def bootstrap_ci(spark, sf_dir):
 def bootstrap_widths(spark, sf_dir):
     """Widths of the intervals and how many hold the point estimate, by whether a pair is deterministic, and in all."""
     df = bootstrap_ci(spark, sf_dir).withColumn("width", F.col("ci_high") - F.col("ci_low")).withColumn("inside", F.col("rho").between(F.col("ci_low"), F.col("ci_high")).cast("double"))
-    return df.rollup("deterministic").agg(r6(F.avg("width"), "mean_width"), r6(F.median("width"), "median_width"), r6(F.min("width"), "min_width"), r6(F.max("width"), "max_width"), r6(F.avg("inside"), "inside"), F.count("*").alias("n"))
+    return df.withColumn("deterministic", F.col("deterministic").cast("string")).rollup("deterministic").agg(r6(F.avg("width"), "mean_width"), r6(F.median("width"), "median_width"), r6(F.min("width"), "min_width"), r6(F.max("width"), "max_width"), r6(F.avg("inside"), "inside"), F.count("*").alias("n"))
 
 
 def bootstrap_draws(spark, sf_dir):
@@ -167,7 +167,7 @@ _TYPED = "CASE WHEN model_a < 'm3' AND model_b < 'm3' THEN 'language-language' W
 
 SQL = {
     "bootstrap_ci": _BOOT + " SELECT * FROM bc",
-    "bootstrap_widths": _BOOT + ", bw AS (SELECT *, ci_high - ci_low AS w, CASE WHEN rho BETWEEN ci_low AND ci_high THEN 1.0 ELSE 0.0 END AS ins FROM bc) SELECT deterministic, round(avg(w), 6) + 0.0 AS mean_width, round(median(w), 6) + 0.0 AS median_width, round(min(w), 6) + 0.0 AS min_width, round(max(w), 6) + 0.0 AS max_width, round(avg(ins), 6) + 0.0 AS inside, count(*) AS n FROM bw GROUP BY ROLLUP (deterministic)",
+    "bootstrap_widths": _BOOT + ", bw AS (SELECT *, ci_high - ci_low AS w, CASE WHEN rho BETWEEN ci_low AND ci_high THEN 1.0 ELSE 0.0 END AS ins FROM bc) SELECT CAST(deterministic AS VARCHAR) AS deterministic, round(avg(w), 6) + 0.0 AS mean_width, round(median(w), 6) + 0.0 AS median_width, round(min(w), 6) + 0.0 AS min_width, round(max(w), 6) + 0.0 AS max_width, round(avg(ins), 6) + 0.0 AS inside, count(*) AS n FROM bw GROUP BY ROLLUP (deterministic)",
     "bootstrap_draws": "WITH " + CTE + _DRAW + " SELECT draw, concept, pos, w FROM tk",
     "subsample_draws": "WITH " + CTE + _IMGS + f", wr AS (SELECT CAST(draw AS INTEGER) AS draw, concept, pos, row_number() OVER (PARTITION BY draw, concept ORDER BY {_h(str(SEED), 'draw', 'concept', 'pos')}, pos) AS k FROM ip, (SELECT unnest(range({DRAWS})) AS draw)) SELECT draw, concept, pos, CAST(1 AS BIGINT) AS w FROM wr WHERE k <= {SLOTS}",
     "mantel_test": _MANTEL + " SELECT model_a, model_b, round(rho, 6) + 0.0 AS rho, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q, q < 0.05 AS significant FROM mq",
