@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, kind: str = "tables") -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillon-{kind}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once as a table in the shared folder and read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillon-tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
