@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.durable import durable, lookup_join, shared_dir
+from quillon.plans.durable import durable, lookup_join, scratch
 
 
 class DyadicCountTree:
@@ -24,7 +22,7 @@ class DyadicCountTree:
 
     def __init__(self, spark: SparkSession, path: str | None = None, depth: int = 12):
         self.spark, self.depth = spark, depth
-        self.path = path or f"{shared_dir(spark).rstrip('/')}/quillon-trees/{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "trees")
         self.batches: list[str] = []
 
     def add_batch(self, df: DataFrame, source: str, score: str, record: str) -> None:
