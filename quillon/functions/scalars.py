@@ -41,8 +41,10 @@ def extension(c: Column) -> Column:
 
 def source_of_file(c: Column, sources: list[str]) -> Column:
     """The source named in ``<slug>_<source>_<number>``, the longest that fits; null without one."""
-    names = "|".join(sorted(sources, key=lambda s: (-len(s), s)))
-    return F.nullif(F.regexp_extract(stem(c), rf"^.+_({names})_\d+$", 1), F.lit(""))
+    name, out = stem(c), F.lit(None).cast("string")
+    for s in sorted(sources, key=lambda s: (len(s), s)):
+        out = F.when(name.rlike(rf"^.+_{s}_\d+$"), s).otherwise(out)
+    return out
 
 
 def file_number(c: Column) -> Column:

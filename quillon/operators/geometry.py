@@ -85,7 +85,7 @@ def cka_pairs(long: DataFrame, model: str = "model", normalise: bool = True) ->
     gram = gram.withColumn("w", F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0))
     pairs = pair_up(gram, model, [], ["g", "w"])
     sums = pairs.groupBy("model_a", "model_b").agg(F.sum(F.expr("w_a * g_a * g_b")).alias("ab"), F.sum(F.expr("w_a * g_a * g_a")).alias("aa"), F.sum(F.expr("w_a * g_b * g_b")).alias("bb"))
-    return sums.select("model_a", "model_b", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("cka"))
+    return sums.select("model_a", "model_b", F.try_divide(F.col("ab"), F.nullif(F.round(F.sqrt("aa") * F.sqrt("bb"), DECIMALS), F.lit(0.0))).alias("cka"))
 
 
 def symmetrised(pairs: DataFrame) -> DataFrame:

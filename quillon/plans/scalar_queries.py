@@ -113,7 +113,7 @@ _AT = lambda a: f"list_aggregate(list_transform({a}, lambda x: CAST(x AS VARCHAR
 SQL = {
     "names": f"SELECT concept, {_norm('concept')} AS name, {_slug('concept')} AS slug, CASE WHEN substr(lower(concept), 1, 1) IN ('a','e','i','o','u') THEN 'an' ELSE 'a' END || ' photo of ' || concept AS prompt, 'The concept of ' || concept AS template, {_slug('concept')} || '_007.jpg' AS placeholder, list_aggregate(list_transform(string_split({_norm('concept')}, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS title FROM (SELECT DISTINCT concept FROM candidate WHERE concept IS NOT NULL)",
     "paths": "WITH f AS (SELECT file_id, max(replace(trim(relpath), '\\', '/')) AS p FROM image_file WHERE relpath IS NOT NULL GROUP BY 1) SELECT file_id, split_part(p, '/', -1) AS name, regexp_replace(split_part(p, '/', -1), '(.)[.][^.]*$', '\\1') AS stem, lower(regexp_extract(split_part(p, '/', -1), '.([.][^.]*)$', 1)) AS extension, split_part(p, '/', -1) LIKE '%\\_openpix\\_%.jpg' ESCAPE '\\' AS openpix_jpg FROM f",
-    "file_sources": "SELECT DISTINCT candidate_filename, nullif(regexp_extract(regexp_replace(replace(candidate_filename, '_candidate_', '_'), '[.][^.]*$', ''), '^.+_(museo_scans|freelens|gridnet|openpix|scans)_[0-9]+$', 1), '') AS source, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(replace(candidate_filename, '_candidate_', '_'), '[.][^.]*$', ''), '_([0-9]+)$', 1), '') AS BIGINT), -1) AS number FROM candidate WHERE candidate_filename IS NOT NULL",
+    "file_sources": "SELECT DISTINCT candidate_filename, (SELECT CASE WHEN regexp_matches(n, '^.+_museo_scans_[0-9]+$') THEN 'museo_scans' WHEN regexp_matches(n, '^.+_freelens_[0-9]+$') THEN 'freelens' WHEN regexp_matches(n, '^.+_gridnet_[0-9]+$') THEN 'gridnet' WHEN regexp_matches(n, '^.+_openpix_[0-9]+$') THEN 'openpix' WHEN regexp_matches(n, '^.+_scans_[0-9]+$') THEN 'scans' END FROM (SELECT regexp_replace(replace(candidate_filename, '_candidate_', '_'), '[.][^.]*$', '') AS n)) AS source, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(replace(candidate_filename, '_candidate_', '_'), '[.][^.]*$', ''), '_([0-9]+)$', 1), '') AS BIGINT), -1) AS number FROM candidate WHERE candidate_filename IS NOT NULL",
     "flags": "SELECT CASE WHEN lower(trim(proxy_used)) IN ('1','true','yes','y','on') THEN 'true' WHEN lower(trim(proxy_used)) IN ('0','false','no','n','off') THEN 'false' ELSE 'neither' END AS meaning, count(*) AS n, count(DISTINCT lower(trim(proxy_used))) AS n_words FROM candidate GROUP BY 1",
     "class_terms": "WITH t AS (SELECT DISTINCT source_class_id, trim(term) AS term FROM (SELECT source_class_id, unnest(string_split(source_class_label, ',')) AS term FROM candidate WHERE source_class_id IS NOT NULL) WHERE trim(term) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY source_class_id ORDER BY term) AS k FROM t) SELECT source_class_id, count(*) AS n_terms, string_agg(term, '; ' ORDER BY term) FILTER (WHERE k <= 8) AS terms FROM r GROUP BY 1",
     "settings": "WITH md AS (SELECT * FROM (VALUES ('m0','causal',0.6::DOUBLE),('m1','causal',1.7),('m2','causal',4.0),('m3','vision',NULL),('m4','vision',NULL),('m5','vision',NULL),('m6','vision_language',NULL),('m7','vision_language_autoregressive',NULL)) t(model, kind, size)), l AS (SELECT *, length(kind) AS n FROM md) SELECT model, coalesce(size, 0.25) AS a, 2.0::DOUBLE AS b, 2 AS n, 'x:y' AS swap_new, "

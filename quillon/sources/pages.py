@@ -67,4 +67,6 @@ class PageReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    """Make the format known to the session, with its filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SearchPages)
