@@ -3,7 +3,7 @@
 A collection (all vectors of one ``part``, such as a model and layer) of up to ``SHARD_ROWS`` rows
 is one shard. A larger one is cut by a coarse p-stable hash of two slots a function (the sign of a
 projection): a row's own cell is its home, and it visits further cells in estimated success order
-until a close vector (distance ``REACH``) is in a visited one with probability ``COVER``. A cell
+until a close vector (distance ``REACH``) is in a visited one with probability ``cover``. A cell
 that is too full, as in a dense region, is cut further by row hash; visitors go to all its pieces.
 So a vector is sent once in a small collection and a few times in a large one, never to all shards.
 """
@@ -24,7 +24,7 @@ from quillon.llm.pstable import projections
 from quillon.plans.durable import durable, lookup_join
 
 SHARD_ROWS = 32_768
-REACH, COVER, MAX_FLIPS = 0.5, 0.97, 3
+REACH, COVER, MAX_FLIPS = 0.6, 0.97, 4
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -45,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells(x: np.ndarray, bits: int, seed: int, visits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cells(x: np.ndarray, bits: int, seed: int, visits: bool, cover: float = COVER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, home?) of unit vectors for ``bits`` coarse functions."""
     at = x @ projections(x.shape[1], bits, seed + 7)
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -63,7 +63,7 @@ def cells(x: np.ndarray, bits: int, seed: int, visits: bool) -> tuple[np.ndarray
         sums = np.exp(base)[:, None] + np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
         before = np.concatenate([np.exp(base)[:, None], sums[:, :-1]], axis=1)
         masks = np.array([int(sum(powers[list(s)])) for s in sets])
-        r, j = np.nonzero(before < COVER)
+        r, j = np.nonzero(before < cover)
         rows.append(r)
         out.append(home[r] ^ masks[order[r, j]])
     return np.concatenate(rows), np.concatenate(out), np.concatenate([np.ones(len(x), bool), np.zeros(len(rows[-1]) if visits else 0, bool)])
@@ -75,7 +75,7 @@ def sizes(df: DataFrame, part: list[str], shard_rows: int) -> DataFrame:
     return durable(df.groupBy(*part).agg(F.count("*").alias("_n")).where(F.col("_n") > shard_rows).select(*part, bits.alias("_bits")))
 
 
-def sharded(df: DataFrame, part: list[str], vector: str, record: str, large: DataFrame, visits: bool = True, shard_rows: int = SHARD_ROWS, seed: int = 42, cut: bool = True) -> DataFrame:
+def sharded(df: DataFrame, part: list[str], vector: str, record: str, large: DataFrame, visits: bool = True, shard_rows: int = SHARD_ROWS, seed: int = 42, cut: bool = True, cover: float = COVER) -> DataFrame:
     """``df`` with _shard, _piece and _home: where each row lives and, with ``visits``, goes.
 
     ``large`` comes from ``sizes`` and may be shared by several frames of one collection; it is looked
@@ -96,7 +96,7 @@ def sharded(df: DataFrame, part: list[str], vector: str, record: str, large: Dat
                 at = np.flatnonzero((bits == b) & (width == d))
                 own = batch.take(pa.array(at))
                 if b:
-                    rows, cell, home = cells(unit(matrix(own.column(vector))).astype(np.float32), b, seed, visits)
+                    rows, cell, home = cells(unit(matrix(own.column(vector))).astype(np.float32), b, seed, visits, cover)
                 else:
                     rows, cell, home = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
                 own = own.take(pa.array(rows))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.pstable import HashParams, candidates, complete
+from quillon.llm.pstable import SLACK, HashParams, candidates, complete
 from quillon.llm.shards import SHARD_ROWS, matrix, sharded, sizes, unit
 from quillon.plans.durable import durable, lookup_join
 
@@ -40,13 +40,17 @@ def _search(k: int, least: float, params: HashParams, sure: float | None):
         if sure is not None:
             best = complete(x[home], x[asks], best, k, sure)
         q, c = asks[best[0]], home[best[1]]
+        q, c = _with_ties(x, home, q, c, best[2], k)
         s = np.concatenate([np.einsum("ij,ij->i", x64[q[i : i + 65536]], x64[c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)]).round(DECIMALS)
         ok = (q != c) & (s >= least)
         q, c, s = q[ok], c[ok], s[ok]
         at_home = set(home.tolist())
         a, b, sims = [], [], []
-        order = np.lexsort((c, -s, q))
+        least_id = np.array([i[0] for i in ids])
+        order = np.lexsort((least_id[c], -s, q))
         q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        q, c, s = q[place <= k], c[place <= k], s[place <= k]
         starts = dict(zip(*[z.tolist() for z in np.unique(q, return_index=True)]))
         ends = np.searchsorted(q, q, "right") if len(q) else q
         for v in asks.tolist():
@@ -65,6 +69,31 @@ def _search(k: int, least: float, params: HashParams, sure: float | None):
     return run
 
 
+def _with_ties(x: np.ndarray, home: np.ndarray, q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows as near as a query's k-th, for queries whose kept candidates end within a run of equals.
+
+    Such runs, of vectors that differ in length only, can be longer than what a query keeps; they are
+    read off exactly, in blocks.
+    """
+    order = np.lexsort((-s, q))
+    qs, ss = q[order], s[order]
+    ask, first, size = np.unique(qs, return_index=True, return_counts=True)
+    long = size == k + SLACK
+    kth, last = ss[first[long] + k - 1], ss[first[long] + k + SLACK - 1]
+    open_ = ask[long][kth - last < 1e-6]
+    if not len(open_):
+        return q, c
+    floor = dict(zip(ask[long].tolist(), (kth - 1e-6).tolist()))
+    more_q, more_c = [q], [c]
+    for lo in range(0, len(open_), 512):
+        rows = open_[lo : lo + 512]
+        i, j = np.nonzero(x[rows] @ x[home].T >= np.array([floor[r] for r in rows.tolist()], np.float32)[:, None])
+        more_q.append(rows[i])
+        more_c.append(home[j])
+    pair = np.unique((np.concatenate(more_q) << 32) | np.concatenate(more_c))
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
 def _rows(a: list, b: list, s: list) -> pa.Table:
     return pa.table({"vector_id": pa.array(a, pa.int64()), "neighbour_id": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64())})
 
