@@ -60,3 +60,17 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("_salt", F.pmod(F.hash(F.col(salt_on) if salt_on else F.monotonically_increasing_id()), F.lit(SALTS)))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+#: A table of less than this per core is read by too few tasks for work that is heavy for its bytes.
+BYTES_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over twice as many tasks as there are cores, if its size would give fewer than one a core.
+
+    Only the layout changes. Large tables stay as they are read; their size is the optimizer's estimate.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, key) if size < cores * BYTES_PER_CORE else df
