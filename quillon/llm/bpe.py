@@ -208,6 +208,6 @@ def token_counts(df: DataFrame, record: str, text: str, path: str | None = None)
 
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of a list of ids: the pieces' bytes concatenated and read as UTF-8 (null: null)."""
-    pieces = [p.decode("latin-1") for p in load(path or f"{TOKENIZERS}/{BYTE_BPE}").pieces]
-    joined = F.get(F.transform(F.array(F.from_json(F.lit(json.dumps(pieces)), "array<string>")), lambda tab: F.array_join(F.transform(ids, lambda i: F.get(tab, i)), "")), 0)
-    return F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")
+    pieces = json.dumps([p.hex() for p in load(path or f"{TOKENIZERS}/{BYTE_BPE}").pieces])
+    joined = F.get(F.transform(F.array(F.from_json(F.lit(pieces), "array<string>")), lambda tab: F.array_join(F.transform(ids, lambda i: F.get(tab, i)), "")), 0)
+    return F.decode(F.unhex(joined), "UTF-8")
