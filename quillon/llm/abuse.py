@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import lexicon
+from quillon.plans.durable import spread
 
 #: Words around a hit in which an address, and other hits, count; a mention counts in the same sentence.
 NEAR, AROUND = 5, 14
@@ -220,7 +221,7 @@ def abuse_scores(df: DataFrame, record: str, text: str) -> DataFrame:
             yield pd.DataFrame({record: pdf[record], "score": [s for s, _ in found], "category": pd.Series([c for _, c in found], dtype=object)})
 
     kind = dict(df.dtypes)[record]
-    return df.select(record, F.col(text).cast("string").alias("_text")).mapInPandas(run, f"`{record}` {kind}, score double, category string")
+    return spread(df.select(record, F.col(text).cast("string").alias("_text")), record).mapInPandas(run, f"`{record}` {kind}, score double, category string")
 
 
 def abuse_rates(scored: DataFrame, source: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.durable import spread
+
 #: Where the vocabulary files lie; a parameter of all queries, never copied here.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
@@ -173,7 +175,7 @@ SALTS = 8
 
 def _with_words(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, at, word, _salt) of all words of all texts, and the encoded words on each salt."""
-    rows = docs.select("_id", F.posexplode(words(F.col("_text"))).alias("at", "word"))
+    rows = spread(docs, "_id").select("_id", F.posexplode(words(F.col("_text"))).alias("at", "word"))
     coded = encode_words(rows.select("word").distinct(), path).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")), coded
 
