@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import curation, inference, integrity, io_queries, reference_checks, rsa, scalar_queries
+from quillon.plans import curation, inference, integrity, io_queries, reference_checks, rsa, scalar_queries, selections
 
-MODULES = (reference_checks, rsa, inference, curation, integrity, scalar_queries, io_queries)
+MODULES = (reference_checks, rsa, inference, curation, integrity, scalar_queries, io_queries, selections)
 QUERIES: dict = {}
 SQL: dict = {}
 for _module in MODULES:
