@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.durable import durable
+from quillon.plans.durable import durable, lookup_join
 
 #: Keys go to so many dictionary parts by their hash; ids are dense within a part.
 PARTS_LOG2 = 12
@@ -74,19 +74,23 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     References with a null key or null time are no cases. Parent rows with a null key or start, or
     that end before they start, hold nothing. Repeated parent rows hold once; repeated references
     stay repeated. Empty tables give an empty result, an empty parent table makes every reference an
-    orphan. Names of other columns are free but for ``period``, ``first_from`` and ``last_to``.
+    orphan. Names of other columns are free but for ``period``, ``spans``, ``first_end`` and ``last_start``.
     """
     refs = references.where(F.col("key").isNotNull() & F.col("at").isNotNull())
     held = parents.where(F.col("key").isNotNull() & F.col("valid_from").isNotNull() & F.coalesce(F.col("valid_to") > F.col("valid_from"), F.lit(True))).select("key", "valid_from", "valid_to")
     gaps = durable(missing_keys(refs, held))
-    spans = held.distinct().join(gaps.select("key").distinct(), "key", "left_semi")
-    # A key's own times: sorted changes of the number of valid rows; bounded by the key's parent rows.
-    spans = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("valid_from", F.coalesce("valid_to", F.lit("9999-12-31").cast(held.schema["valid_from"].dataType)).alias("valid_to")))).alias("spans"))
-    suspects = refs.withColumn("period", month_number(F.col("at"))).join(gaps, ["key", "period"]).join(spans, "key", "left")
-    in_place = F.expr("exists(spans, s -> s.valid_from <= at and at < s.valid_to)")
-    before, after = F.expr("exists(spans, s -> s.valid_to <= at)"), F.expr("exists(spans, s -> s.valid_from > at)")
-    reason = F.when(F.col("spans").isNull(), "never").when(before & after, "between").when(before, "gone").otherwise("later")
-    return suspects.where(~F.coalesce(in_place, F.lit(False))).withColumn("reason", reason).drop("spans", "period")
+    # Within a period without a parent that covers it whole, only parents that begin or end in it matter.
+    ends = held.distinct().join(gaps.select("key").distinct(), "key", "left_semi")
+    month = F.array_distinct(F.array_compact(F.array(month_number(F.col("valid_from")), month_number(F.col("valid_to")))))
+    near = ends.withColumn("period", F.explode(month)).join(gaps, ["key", "period"], "left_semi")
+    near = near.groupBy("key", "period").agg(F.collect_set(F.struct("valid_from", "valid_to")).alias("spans"))
+    around = ends.groupBy("key").agg(F.min("valid_to").alias("first_end"), F.max("valid_from").alias("last_start"))
+    known = durable(gaps.join(near, ["key", "period"], "left").join(around, "key", "left"))
+    suspects = lookup_join(refs.withColumn("period", month_number(F.col("at"))), known, ["key", "period"])
+    in_place = F.expr("exists(spans, s -> s.valid_from <= at and (s.valid_to is null or at < s.valid_to))")
+    before, after = F.coalesce(F.col("first_end") <= F.col("at"), F.lit(False)), F.col("last_start") > F.col("at")
+    reason = F.when(F.col("last_start").isNull(), "never").when(before & after, "between").when(before, "gone").otherwise("later")
+    return suspects.where(~F.coalesce(in_place, F.lit(False))).withColumn("reason", reason).drop("spans", "period", "first_end", "last_start")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

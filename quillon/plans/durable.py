@@ -53,12 +53,13 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
 
     The lookup is broadcast only when a count bounded by ``BROADCAST_ROWS`` proves it small;
     a larger one is replicated over ``SALTS`` salts so that a hot key is spread over that many tasks.
-    ``salt_on`` names the column whose hash picks a row's salt.
+    ``salt_on`` names the column whose hash picks a row's salt, else all columns do; a row keeps its salt
+    when a task runs again.
     """
     if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("_salt", F.pmod(F.hash(F.col(salt_on) if salt_on else F.monotonically_increasing_id()), F.lit(SALTS)))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*([salt_on] if salt_on else rows.columns)), F.lit(SALTS)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
 
 

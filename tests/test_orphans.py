@@ -3,8 +3,10 @@ from datetime import datetime, timedelta
 
 from tests.conftest import rows
 from pyspark.sql import functions as F
+import pytest
 
 from quillon.operators.orphans import orphans
+from quillon.plans import durable as durable_module
 
 REF = "key string, at timestamp_ntz, key2 string"
 PAR = "key string, valid_from timestamp_ntz, valid_to timestamp_ntz"
@@ -26,7 +28,9 @@ def brute(refs, parents):
     return sorted(out, key=lambda r: tuple(str(x) for x in r))
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [20_000, 0])
+def test_against_brute_force(spark, bound, monkeypatch):
+    monkeypatch.setattr(durable_module, "BROADCAST_ROWS", bound)
     rng = random.Random(3)
     day = lambda: datetime(2024, 1, 1) + timedelta(days=rng.randrange(200), hours=rng.choice([0, 7]))
     keys = [f"k{i}" for i in range(150)]
