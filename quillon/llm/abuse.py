@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +30,13 @@ _LEET = str.maketrans("4301578@$!", "aeoistbasi")
 #: Letters hidden behind signs; each sign stands for one letter.
 _MASKED = re.compile(r"[a-z](?=[a-z]*[#*%&@$]{2})[a-z#*%&@$]{2,}[a-z]|[a-z]+[#*][a-z]+")
 _WORD = re.compile(_MASKED.pattern + r"|[^\W_]+(?:['’ʼ`@$!][^\W_]+)*|[@$][^\W_]+|[4]")
-_END = re.compile(r"[.!?\n]")
+#: Ends of sentences; not the points between letters that stand alone.
+_END = re.compile(r"[?\n]|!(?![^\W\d_])|\.(?![^\W_](?:[\W_]|$))")
+#: Three or more letters that stand alone one after the other.
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2}")
+#: Marks on letters, and invisible characters.
+_DROPPED = re.compile("[" + "".join(re.escape(chr(i)) for i in range(128, 0x10000) if unicodedata.combining(chr(i)) or unicodedata.category(chr(i)) == "Cf") + "]+")
+_FOREIGN = re.compile(r"\w*[^\x00-\x7f\W]\w*")
 _LONG = re.compile(r"(.)\1{2,}")
 _LATIN = re.compile(r"[a-z]")
 
@@ -37,8 +44,9 @@ _LATIN = re.compile(r"[a-z]")
 class LevenshteinTrie:
     """The words of a lexicon; ``match`` gives those within the distance a word's length allows.
 
-    The automaton of the word is run along the trie: its state is the row of distances to all
-    prefixes, and a branch is left as soon as no entry is within the bound.
+    Words of five letters or more may be one edit (a letter more, less, other, or two changed about)
+    away. The automaton of that distance has two states, with and without an edit behind it; it is
+    run along the trie and left where no branch goes on.
     """
 
     def __init__(self, words: set[str]):
@@ -78,71 +86,85 @@ class LevenshteinTrie:
                 break
         if node is not None and "" in node:
             return {node[""]}
-        k = self.bound(word)
-        if not k or len(word) > 24:
-            return set()
+        return self._one_edit(word) if self.bound(word) and len(word) <= 24 else set()
+
+    def _one_edit(self, word: str) -> set[str]:
+        """The automaton's walk: in its first state along the word, in its second, after one edit, to the end."""
         out: set[str] = set()
-        todo = [(self.root, tuple(range(len(word) + 1)), "", None)]
-        while todo:
-            node, row, last, before = todo.pop()
-            if "" in node and row[-1] <= k and len(node[""]) >= 4:
-                out.add(node[""])
+        node, n = self.root, len(word)
+        for i in range(n + 1):
+            if i < n:
+                self._finish(node, word, i + 1, out)
             for c, child in node.items():
-                if not c:
-                    continue
-                new = [row[0] + 1]
-                for j, w in enumerate(word, 1):
-                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c))
-                    if before is not None and j > 1 and w == last and word[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= k:
-                    todo.append((child, tuple(new), c, row))
+                if c:
+                    self._finish(child, word, i, out)
+                    if i < n and c != word[i]:
+                        self._finish(child, word, i + 1, out)
+            if i + 1 < n and (a := node.get(word[i + 1])) and (b := a.get(word[i])):
+                self._finish(b, word, i + 2, out)
+            node = node.get(word[i]) if i < n else None
+            if node is None:
+                break
         return out
 
+    @staticmethod
+    def _finish(node: dict, word: str, i: int, out: set[str]) -> None:
+        for c in word[i:]:
+            node = node.get(c)
+            if node is None:
+                return
+        if "" in node and len(node[""]) >= 4:
+            out.add(node[""])
+
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters and look-alike letters."""
     if text.isascii():
         return text.lower()
-    t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold()).translate(_ACCENTS)
-    t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return re.sub(r"\w+", lambda m: m[0].translate(_LOOKALIKES) if not m[0].isascii() and (_LATIN.search(m[0]) or len(m[0]) == 1) else m[0], t)
+    t = _DROPPED.sub("", unicodedata.normalize("NFKD", text).casefold().translate(_ACCENTS))
+    return _FOREIGN.sub(lambda m: m[0].translate(_LOOKALIKES) if _LATIN.search(m[0]) or len(m[0]) == 1 else m[0], t)
 
 
-def words(text: str) -> tuple[list[str], list[int]]:
-    """The words of a text in their plain form, letters set apart by spaces as one, and their sentences' numbers."""
-    simple = plain(text)
-    at = [m.span() for m in _WORD.finditer(simple)]
-    raw = [simple[a:b] for a, b in at]
+def _joined(part: str) -> list[str]:
+    """The words of a sentence in which letters stand alone, a run of them as one word."""
+    at = [m.span() for m in _WORD.finditer(part)]
+    raw = [part[a:b] for a, b in at]
     out: list[str] = []
-    sentences: list[int] = []
-    i = sentence = end = 0
+    i = 0
     while i < len(raw):
-        w = raw[i]
-        if _END.search(simple, end, at[i][0]):
-            sentence += 1
-        sentences.append(sentence)
-        end = at[i][1]
-        if len(w) == 1 and i + 2 < len(raw) and len(raw[i + 1]) == 1 and len(raw[i + 2]) == 1:
+        if len(raw[i]) == 1 and i + 2 < len(raw) and len(raw[i + 1]) == 1 and len(raw[i + 2]) == 1:
             # A wider gap than between the first two letters ends a word.
             j, gap = i + 1, at[i + 1][0] - at[i][1]
             while j < len(raw) and len(raw[j]) == 1 and at[j][0] - at[j - 1][1] <= gap:
                 j += 1
-            out.append("".join(raw[i:j]).translate(_LEET))
-            i, end = j, at[j - 1][1]
-            continue
-        if _MASKED.fullmatch(w):
-            pass
-        elif not w.isalpha():
-            if any(c.isalpha() for c in w) or w == "4":
-                w = w.translate(_LEET)
-            w = re.sub(r"['’ʼ`@$!]", "", w)
-        out.append(_LONG.sub(r"\1", w))
-        i += 1
+            out.append("".join(raw[i:j]))
+            i = j
+        else:
+            out.append(raw[i])
+            i += 1
+    return out
+
+
+def words(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text in its plain form, letters set apart by spaces as one, and their sentences' numbers."""
+    out: list[str] = []
+    sentences: list[int] = []
+    for k, part in enumerate(_END.split(plain(text))):
+        found = _joined(part) if _SPACED.search(part) else _WORD.findall(part)
+        out += found
+        sentences += [k] * len(found)
     return out, sentences
 
 
+def unleet(word: str) -> str:
+    """A word with signs and digits read as letters and stretched letters shortened; masked words stay."""
+    if not word.isalpha() and not _MASKED.fullmatch(word):
+        if any(c.isalpha() for c in word) or word == "4":
+            word = word.translate(_LEET)
+        word = re.sub(r"['’ʼ`@$!]", "", word)
+    return _LONG.sub(r"\1", word)
+
+
 @dataclass(frozen=True)
 class Phrase:
     parts: tuple[frozenset[str], ...]
@@ -150,6 +172,8 @@ class Phrase:
 
 
 class Scorer:
+    """The lexicon made ready; what a word stands for is kept, so that a word costs a look-up from then on."""
+
     def __init__(self) -> None:
         lists = (("person", lexicon.PERSON), ("group", lexicon.GROUP), ("sexual", lexicon.SEXUAL), ("mention", lexicon.MENTIONS))
         phrases = [Phrase(tuple(frozenset(p.split("|")) for p in line.split()), c) for c, lines in lists for line in lines]
@@ -158,12 +182,17 @@ class Scorer:
             for w in p.parts[0]:
                 self.first.setdefault(w, []).append(p)
         self.insults, self.address = frozenset(lexicon.INSULTS), frozenset(lexicon.ADDRESS)
+        self.seen: dict[str, frozenset[str]] = {}
         self.trie = LevenshteinTrie({w for p in phrases for s in p.parts for w in s} | self.insults | self.address)
 
-    def _lexical(self, word: str) -> frozenset[str]:
+    def _lexical(self, raw: str) -> frozenset[str]:
+        word = unleet(raw)
         found = self.trie.match(word)
         if not found and len(word) > 4 and word[0] in "aiu":
             found = self.trie.match(word[1:]) if word[1:] in self.insults else found
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        self.seen[raw] = found
         return found
 
     def score(self, text: str | None) -> tuple[float, str | None]:
@@ -171,10 +200,15 @@ class Scorer:
         if not text:
             return 0.0, None
         found_words, sentence = words(text)
-        hits = [self._lexical(w) for w in found_words]
+        seen = self.seen.get
+        hits = [h if (h := seen(w)) is not None else self._lexical(w) for w in found_words]
+        if not any(hits):
+            return 0.0, None
         found: list[tuple[int, float, str]] = []
         mentions: list[int] = []
         for i, h in enumerate(hits):
+            if not h:
+                continue
             for w in h:
                 for p in self.first.get(w, ()):
                     end = self._follow(hits, i, p)
@@ -207,6 +241,12 @@ class Scorer:
         return i
 
 
+@lru_cache(maxsize=1)
+def _scorer() -> Scorer:
+    """One a worker process, which goes through many tasks."""
+    return Scorer()
+
+
 def abuse_scores(df: DataFrame, record: str, text: str) -> DataFrame:
     """``record``, score, category (person, group, sexual; null without a hit) of each row's text.
 
@@ -215,7 +255,7 @@ def abuse_scores(df: DataFrame, record: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer()
+        scorer = _scorer()
         for pdf in batches:
             found = [scorer.score(t if isinstance(t, str) else None) for t in pdf["_text"]]
             yield pd.DataFrame({record: pdf[record], "score": [s for s, _ in found], "category": pd.Series([c for _, c in found], dtype=object)})

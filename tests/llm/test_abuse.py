@@ -1,6 +1,6 @@
 import pytest
 
-from quillon.llm.abuse import LevenshteinTrie, Scorer, abuse_rates, abuse_scores, plain, words
+from quillon.llm.abuse import LevenshteinTrie, Scorer, abuse_rates, abuse_scores, plain, unleet, words
 from tests.conftest import SMALL, rows
 
 ABUSE = [
@@ -87,7 +87,7 @@ def test_trie_is_brute_force():
 
 def test_plain_words():
     assert plain("ÉCOLE Straße") == "ecole strasse"
-    assert words("I'm h e r e. L8")[0] == ["im", "here", "l8".translate(str.maketrans("8", "b"))]
+    assert [unleet(w) for w in words("I'm h e r e. L8")[0]] == ["im", "here", "lb"]
     assert words("a b")[0] == ["a", "b"]
 
 
