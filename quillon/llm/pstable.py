@@ -71,7 +71,8 @@ def _merge(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.n
     # The same pair may come from several tables and probes, with the last bits apart.
     _, one = np.unique((q << 32) | c, return_index=True)
     q, c, s = q[one], c[one], s[one]
-    order = np.argsort((q << 32) | ((1 - s) * (1 << 30)).astype(np.int64), kind="stable")
+    # Products of unit vectors in single precision may be a little over 1.
+    order = np.argsort((q << 32) | (np.clip(1 - s, 0, 2) * (1 << 30)).astype(np.int64), kind="stable")
     q, c, s = q[order], c[order], s[order]
     ok = np.arange(len(q)) - np.searchsorted(q, q, "left") < keep
     return q[ok], c[ok], s[ok]

@@ -3,7 +3,7 @@ import pytest
 
 from quillon.llm.cftree import CFTree, ward
 from quillon.llm.clusters import cluster_vectors, describe
-from quillon.llm.pstable import HashParams, candidates, probing_sequence
+from quillon.llm.pstable import HashParams, _merge, candidates, probing_sequence
 from quillon.llm.shards import cells
 from quillon.llm.similar import similar_vectors
 from tests.conftest import rows
@@ -126,6 +126,12 @@ def test_candidates_of_odd_sizes():
     assert (0, 0) in set(zip(q.tolist(), c.tolist()))
 
 
+def test_merge_keeps_the_best_of_each_query():
+    s = np.array([1.0000001, 0.5, 1.0000001, 0.9, 0.9, 0.2], np.float32)
+    q, c, sims = _merge(np.array([0, 0, 1, 1, 1, 1]), np.array([0, 1, 1, 0, 0, 2]), s, 2)
+    assert list(zip(q.tolist(), c.tolist())) == [(0, 0), (0, 1), (1, 1), (1, 0)]
+
+
 def test_cells_cover_near_vectors():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 48))
