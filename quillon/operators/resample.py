@@ -70,8 +70,8 @@ def mantel(edges: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
     ranked = ranked_edges(edges, ["model"])
     c = ranked.withColumn("c", F.col("r") - F.avg("r").over(Window.partitionBy("model"))).select("model", "i", "j", "c")
     norms = c.groupBy("model").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    names = [c.select("model").distinct().withColumnRenamed("model", m) for m in ("model_a", "model_b")]
-    pairs = names[0].join(names[1], F.col("model_a") < F.col("model_b"))
+    pairs = c.agg(F.sort_array(F.collect_set("model")).alias("models")).select(F.posexplode("models").alias("at", "model_a"), "models")
+    pairs = pairs.select("model_a", F.explode(F.slice("models", F.col("at") + 2, F.size("models"))).alias("model_b"))
     concepts = edges.select(F.explode(F.array("i", "j")).alias("concept")).distinct()
     at = concepts.withColumn("at", F.row_number().over(Window.orderBy("concept")))
     order = Window.partitionBy("model_a", "model_b", "perm").orderBy("_h", "concept")
@@ -117,11 +117,11 @@ def holdout_rsa(rows: DataFrame, group: str, minimum: int) -> DataFrame:
 
     ``rows``: model, concept, d, v and ``group``. A scenario with fewer than ``minimum`` concepts is skipped.
     """
-    names = rows.select(F.col(group).alias("held")).distinct()
-    scenarios = names.withColumn("mode", F.explode(F.array(F.lit("without"), F.lit("only"))))
-    keep = ((F.col("mode") == "only") & (F.col(group) == F.col("held"))) | ((F.col("mode") == "without") & (F.col(group) != F.col("held")))
     part = rows.groupBy("model", "concept", "d", group).agg(F.sum("v").alias("sv"), F.count("*").alias("nv"))
-    chosen = part.join(F.broadcast(scenarios), keep).groupBy("mode", "held", "model", "concept", "d").agg((F.sum("sv") / F.sum("nv")).alias("v"))
+    # Sums per group are few; each goes to all scenarios it is in, named in one row.
+    names = rows.select(group).distinct().agg(F.collect_list(group).alias("all"))
+    placed = part.join(F.broadcast(names)).withColumn("held", F.explode("all")).withColumn("mode", F.when(F.col(group) == F.col("held"), "only").otherwise("without"))
+    chosen = placed.groupBy("mode", "held", "model", "concept", "d").agg((F.sum("sv") / F.sum("nv")).alias("v"))
     enough = chosen.groupBy("mode", "held").agg(F.countDistinct("concept").alias("n_concepts")).where(F.col("n_concepts") >= minimum)
     chosen = chosen.join(F.broadcast(enough), ["mode", "held"]).drop("n_concepts")
     found = rsa_pairs(similarity_edges(chosen, ["mode", "held", "model"]), ["mode", "held"])
