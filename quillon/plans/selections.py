@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.functions.forms import label_form
 from quillon.operators import families
-from quillon.operators.geometry import symmetrised
+from quillon.operators.geometry import layer_at, rsa_pairs, similarity_edges, symmetrised
 from quillon.operators.selectors import backfill, fallback, in_order, resolve_layer, stat
 from quillon.plans.curation import _CUR, _label, _norm, accepted, candidates, reserve, roster
 from quillon.plans.rsa import _KINDS, _RUNP, _changes, _pilot, kinds, pairs, r6
 from quillon.plans.tables import table
+from quillon.plans.views import CTE, FRACTIONS, edges_cte, images, ranks_cte, rho_cte
 
 
 def rsa_matrix(spark, sf_dir):
@@ -143,7 +144,70 @@ def fn_queries(spark, sf_dir):
     return r.select("concept", F.posexplode(texts).alias("place", "text"))
 
 
+def fn_layer_text(spark, sf_dir):
+    """Layer requests in their stored form, file suffixes from them, and formatted figures."""
+    texts = ["-1", " ALL ", "aligned5", "0, 3,-1", "layer 7/x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    spec = F.regexp_replace(F.lower(F.trim("text")), r"\s*,\s*", ",")
+    profile = F.when(spec == "-1", "last").when(spec.isin("all", "aligned5"), spec).otherwise(F.concat(F.lit("custom_"), F.regexp_replace(spec, ",", "_")))
+    suffix = F.regexp_replace(spec, "[^a-z0-9._-]+", "_")
+    return df.select("i", spec.alias("spec"), profile.alias("profile"), suffix.alias("suffix"), F.format_string("%.3f", F.col("i") / 7).alias("figure"), F.array_join(F.transform(F.split("text", ","), lambda x: F.replace(F.trim(x), F.lit("_"), F.lit(" "))), ", ").alias("joined"))
+
+
+def label_rules(spark, sf_dir):
+    """Whether a class may stand for a roster concept: allowed by list, denied by list, exact, below it, else not."""
+    allowed, denied = ["kiosk"], ["hare", "heron"]
+    r = roster(spark, sf_dir).select("concept", S.normalise(F.col("concept")).alias("name"), F.element_at(F.split(S.normalise(F.col("concept")), " "), -1).alias("word"))
+    labels = table(spark, sf_dir, "candidate").select(S.normalise(F.col("source_class_label")).alias("label")).where("label <> ''").distinct()
+    # A label is tried for the concepts that share its last word; others can't be below one another.
+    j = r.join(labels.withColumn("word", F.element_at(F.split("label", " "), -1)), "word")
+    rule = F.when(F.col("label").isin(allowed), "allowed").when(F.col("label").isin(denied), "denied").when(F.col("label") == F.col("name"), "exact").when(F.col("word") == F.col("label"), "above").otherwise("no")
+    return j.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"), F.countDistinct("concept").alias("n_concepts"))
+
+
+def rsa_depth_runs(spark, sf_dir):
+    """Mean correlation at each depth in two runs, side by side."""
+    rows = images(spark, sf_dir).withColumn("layer", F.floor(F.col("d") / 2).cast("int")).withColumn("d", F.col("d") % 2).withColumn("run", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b"))
+    rows = rows.groupBy("run", "model", "layer", "concept", "d").agg(F.avg("v").alias("v"))
+    p = rsa_pairs(similarity_edges(layer_at(rows, FRACTIONS).drop("layer"), ["run", "fraction", "model"]), ["run", "fraction"])
+    wide = p.groupBy("fraction").pivot("run", ["a", "b"]).agg(F.avg("rho"))
+    return wide.select("fraction", r6("a", "run_a"), r6("b", "run_b"), r6(F.col("b") - F.col("a"), "change"))
+
+
+def concept_lists(spark, sf_dir):
+    """Whether a model's layers list the same concepts, as sets and in the order of delivery."""
+    v = table(spark, sf_dir, "replication_results").select("model", "layer", label_form("concept").alias("concept"), "vector_id").where("model is not null and layer is not null and concept is not null")
+    once = v.groupBy("model", "layer", "concept").agg(F.min("vector_id").alias("at"))
+    named = once.groupBy("model", "layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "concept"))), lambda x: x["concept"]).alias("l"))
+    a, b = (named.where(F.col("layer") == x).select("model", F.col("l").alias(n)) for x, n in (("-1", "a"), ("mid", "b")))
+    j = a.join(b, "model")
+    return j.select("model", (F.sort_array("a") == F.sort_array("b")).alias("same_set"), (F.col("a") == F.col("b")).alias("same_list"), F.size(F.array_except("a", "b")).alias("n_only_last"), F.size(F.array_except("b", "a")).alias("n_only_mid"))
+
+
+def result_payload(spark, sf_dir):
+    """The sections of a result document with their number of rows, and the keys that are missing."""
+    wanted = ["pairs", "summary", "holdout"]
+    p = pairs(spark, sf_dir)
+    doc = p.agg(F.to_json(F.struct(F.count("*").alias("pairs"), F.struct(F.countDistinct("model_a").alias("models")).alias("summary"))).alias("doc"))
+    keys = F.json_object_keys("doc")
+    return doc.select(F.get_json_object("doc", "$.pairs").cast("long").alias("n_pairs"), F.get_json_object("doc", "$.summary.models").cast("long").alias("n_models"), F.array_join(F.array_except(F.array(*[F.lit(w) for w in wanted]), keys), ",").alias("missing"))
+
+
+def review_pick(spark, sf_dir):
+    """One unreviewed document per source, picked by hash: the same one on every run."""
+    done = table(spark, sf_dir, "doc_review").select("doc_id").where("doc_id is not null").distinct()
+    d = table(spark, sf_dir, "documents").select("doc_id", label_form("source").alias("source")).join(done, "doc_id", "left_anti")
+    return d.groupBy("source").agg(F.min_by("doc_id", F.struct(F.md5(F.concat_ws("|", F.lit(42), "doc_id")), "doc_id")).alias("doc_id"))
+
+
 SQL = {
+    "fn_layer_text": "WITH t AS (SELECT unnest(range(5))::INTEGER AS i, unnest(['-1', ' ALL ', 'aligned5', '0, 3,-1', 'layer 7/x']) AS text), s AS (SELECT *, regexp_replace(lower(trim(text)), '\\s*,\\s*', ',', 'g') AS spec FROM t) SELECT i, spec, CASE WHEN spec = '-1' THEN 'last' WHEN spec IN ('all', 'aligned5') THEN spec ELSE 'custom_' || replace(spec, ',', '_') END AS profile, regexp_replace(spec, '[^a-z0-9._-]+', '_', 'g') AS suffix, printf('%.3f', i / 7) AS figure, list_aggregate(list_transform(string_split(text, ','), lambda x: replace(trim(x), '_', ' ')), 'string_agg', ', ') AS joined FROM s",
+    "label_rules": _CUR + f", l AS (SELECT DISTINCT {_norm('source_class_label')} AS label FROM candidate WHERE {_norm('source_class_label')} <> ''), j AS (SELECT concept, {_norm('concept')} AS name, label, split_part(label, ' ', -1) AS word FROM ro JOIN l ON split_part({_norm('concept')}, ' ', -1) = split_part(label, ' ', -1)) SELECT CASE WHEN label = 'kiosk' THEN 'allowed' WHEN label IN ('hare', 'heron') THEN 'denied' WHEN label = name THEN 'exact' WHEN label = word THEN 'above' ELSE 'no' END AS rule, count(*) AS n, count(DISTINCT concept) AS n_concepts FROM j GROUP BY 1",
+    "rsa_depth_runs": "WITH " + CTE + """, lay AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, model, d // 2 AS layer, concept, d % 2 AS d, avg(v) AS v FROM img GROUP BY ALL), fr AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction),
+ dl AS (SELECT run, fraction, model, concept, d, v FROM lay JOIN fr ON layer = round_even(fraction * 3, 0)),""" + edges_cte("de", "dl", "run, fraction, model") + "," + ranks_cte("dr", "de", "run, fraction, model") + "," + rho_cte("dp", "dr", "run, fraction") + " SELECT fraction, round(avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS run_a, round(avg(rho) FILTER (WHERE run = 'b'), 6) + 0.0 AS run_b, round(avg(rho) FILTER (WHERE run = 'b') - avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS change FROM dp GROUP BY 1",
+    "concept_lists": f"WITH v AS (SELECT model, layer, {_label('concept')} AS concept, min(vector_id) AS at_id FROM replication_results WHERE model IS NOT NULL AND layer IS NOT NULL AND {_label('concept')} IS NOT NULL GROUP BY ALL), g AS (SELECT model, layer, list(concept ORDER BY at_id, concept) AS l FROM v GROUP BY ALL) SELECT a.model, list_sort(a.l) = list_sort(b.l) AS same_set, a.l = b.l AS same_list, CAST(len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) AS INTEGER) AS n_only_last, CAST(len(list_filter(b.l, lambda x: NOT list_contains(a.l, x))) AS INTEGER) AS n_only_mid FROM g a JOIN g b ON a.model = b.model AND a.layer = '-1' AND b.layer = 'mid'",
+    "result_payload": _KINDS + " SELECT count(*) AS n_pairs, count(DISTINCT model_a) AS n_models, 'holdout' AS missing FROM p",
+    "review_pick": f"WITH d AS (SELECT doc_id, {_label('source')} AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM doc_review WHERE doc_id IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS k FROM d) SELECT source, doc_id FROM r WHERE k = 1",
     "rsa_matrix": _KINDS + " SELECT model_a, model_b, round(rho, 6) + 0.0 AS rho FROM p UNION ALL SELECT model_b, model_a, round(rho, 6) + 0.0 FROM p UNION ALL SELECT model, model, 1.0 FROM (SELECT DISTINCT model FROM e)",
     "rsa_family_medians": _KINDS + ", s AS (SELECT model_a AS model, kind_b, rho FROM k UNION ALL SELECT model_b, kind_a, rho FROM k) SELECT model, " + ", ".join(f"round(coalesce(median(rho) FILTER (WHERE {_pilot('kind_b')} = '{f}'), 0), 6) + 0.0 AS {f}" for f in ("language", "vision", "vlm", "other")) + " FROM s GROUP BY 1",
     "run_movers": _RUNP + f", t AS (SELECT *, round(abs(change), 9) AS size FROM ch ORDER BY round(abs(change), 9) DESC, model_a, model_b LIMIT 20) SELECT least({_pilot('kind_a')}, {_pilot('kind_b')}) || '-' || greatest({_pilot('kind_a')}, {_pilot('kind_b')}) AS families, count(*) AS n, round(max(size), 6) + 0.0 AS most FROM t GROUP BY 1",
