@@ -27,6 +27,15 @@ def extension(kind: Column | str) -> Column:
     return _case(kind, {"causal": "language", "vision_language": "contrastive_vlm", "vision_language_autoregressive": "autoregressive_vlm"}, "vision")
 
 
+#: The order in which plots list categories; models keep their own order within one.
+PLOT_ORDER = ["causal", "vision_language", "vision_language_autoregressive", "vision"]
+
+
+def plot(kind: Column | str) -> Column:
+    """The kind itself where plots have a category for it, else vision."""
+    return _case(kind, {k: k for k in PLOT_ORDER}, "vision")
+
+
 def pair_type(kind_a: str, kind_b: str) -> Column:
     """language-language, image-image or language-image; every kind but causal is an image model here."""
     n = (F.col(kind_a) == "causal").cast("int") + (F.col(kind_b) == "causal").cast("int")

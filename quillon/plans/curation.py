@@ -79,7 +79,10 @@ def fill_summary(spark, sf_dir):
     full = TARGET * len(SOURCES)
     states = total.agg(F.count_if(F.col("n") == full).alias("n_complete"), F.count_if(F.col("n").between(1, full - 1)).alias("n_partial"), F.count_if(F.col("n") == 0).alias("n_empty"))
     rate = F.col("n_filled") / F.greatest(F.col("n_cells"), F.lit(1))
-    return cells.join(states).withColumn("fill_rate", F.round(rate, 6)).withColumn("decision", F.when(rate >= 0.8, "expand").when(rate >= 0.5, "adjust").otherwise("stop"))
+    weak = c.groupBy("source").agg(F.avg((F.col("n") >= TARGET).cast("double")).alias("r")).agg(F.count_if(F.col("r") < 0.5).alias("n_weak_sources"))
+    blocked = F.col("n_partial") + F.col("n_empty")
+    decision = F.when((blocked > 8) | (F.col("n_weak_sources") > 0), "stop").when((blocked > 3) | (rate < 0.85), "adjust").otherwise("expand")
+    return cells.join(states).join(weak).withColumn("fill_rate", F.round(rate, 6)).withColumn("decision", decision)
 
 
 def fill_by_source(spark, sf_dir):
@@ -98,21 +101,25 @@ def rejections(spark, sf_dir):
 
 
 def worst_concepts(spark, sf_dir):
-    """The fifteen emptiest concepts: fewest images, medium feasibility first, then by name."""
-    t = counts(spark, sf_dir).groupBy("concept").agg(F.sum("n").alias("n")).join(roster(spark, sf_dir), "concept")
+    """The fifteen emptiest of the unfilled concepts: fewest images, medium feasibility first, then by name."""
+    t = counts(spark, sf_dir).groupBy("concept").agg(F.sum("n").alias("n")).join(roster(spark, sf_dir), "concept").where(F.col("n") < TARGET * len(SOURCES))
     return t.orderBy("n", (F.coalesce("feasibility", F.lit("")) != "medium").cast("int"), "concept").limit(15).select("concept", "n", "feasibility")
 
 
 def work_queue(spark, sf_dir):
-    """Unfilled concepts by what is missing, what there is to take, feasibility and name, all descending."""
+    """Unfilled concepts that have something to take, by what there is, all keys descending, the name too.
+
+    First whether there are hits, classes and labels at all and whether feasibility is high, then images
+    held, hits, classes, labels, name.
+    """
     c = candidates(spark, sf_dir).where(F.col("concept").isNotNull() & F.col("source").isin(SOURCES))
-    offer = c.groupBy("concept").agg(F.count("*").alias("n_offered"), F.count_if(usable_score("clip_score") & (F.col("clip_score") >= SCORE)).alias("n_good"), F.count_if(F.col("proxy_used") == "false").alias("n_exact"))
-    have = counts(spark, sf_dir).groupBy("concept").agg(F.sum("n").alias("n_have"), F.count_if(F.col("n") == 0).alias("n_empty"), F.count_if(F.col("n") >= TARGET).alias("n_full"))
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(f) for f in FEASIBLE]), F.col("feasibility")), F.lit(0))
-    df = roster(spark, sf_dir).join(have, "concept").join(offer, "concept", "left").fillna(0, ["n_offered", "n_good", "n_exact"]).where(F.col("n_have") < TARGET * len(SOURCES))
-    df = df.select("concept", "n_empty", (TARGET * len(SOURCES) - F.col("n_have")).alias("n_missing"), "n_full", "n_good", "n_exact", "n_offered", rank.cast("int").alias("feasible"), "target_count")
-    keys = ["n_empty", "n_missing", "n_full", "n_good", "n_exact", "n_offered", "feasible", "target_count", "concept"]
-    return df.orderBy(*[F.col(k).desc() for k in keys]).limit(40)
+    good = usable_score("clip_score") & (F.col("clip_score") >= SCORE)
+    offer = c.groupBy("concept").agg(F.count_if(good).alias("n_hits"), F.countDistinct("source_class_id").alias("n_classes"), F.countDistinct("source_class_label").alias("n_labels"))
+    have = counts(spark, sf_dir).groupBy("concept").agg(F.sum("n").alias("n_images"))
+    df = roster(spark, sf_dir).join(have, "concept").join(offer, "concept").where((F.col("n_images") < TARGET * len(SOURCES)) & ((F.col("n_hits") > 0) | (F.col("n_classes") > 0) | (F.col("n_labels") > 0)))
+    high = F.coalesce(F.col("feasibility") == "high", F.lit(False))
+    keys = [F.col("n_hits") > 0, F.col("n_classes") > 0, F.col("n_labels") > 0, high, *[F.col(k) for k in ("n_images", "n_hits", "n_classes", "n_labels", "concept")]]
+    return df.orderBy(*[k.desc() for k in keys]).limit(40).select("concept", "n_images", "n_hits", "n_classes", "n_labels", high.alias("high"))
 
 
 def tracker_slots(spark, sf_dir):
@@ -145,19 +152,24 @@ def suggestions(spark, sf_dir):
 
 
 def pilot(spark, sf_dir):
-    """Three concepts a stratum: up to two of medium feasibility, high ones, then further medium ones."""
-    r = roster(spark, sf_dir).where("feasibility in ('medium', 'high') and stratum is not null")
-    k = F.row_number().over(Window.partitionBy("stratum", "feasibility").orderBy("ordinal", "concept"))
-    r = r.withColumn("_k", k)
-    order = F.when((F.col("feasibility") == "medium") & (F.col("_k") <= 2), 0).when(F.col("feasibility") == "high", 1).otherwise(2)
-    return first_n(r.withColumn("_o", order), ["stratum"], ["_o", "_k"], 3, "place").select("stratum", "place", "concept", "feasibility")
+    """Three concepts a stratum: some of medium feasibility, then others, then further medium ones.
+
+    One medium concept is wanted where there is any, two where they are at least two fifths.
+    """
+    r = roster(spark, sf_dir).where("stratum is not null").withColumn("medium", F.coalesce(F.col("feasibility") == "medium", F.lit(False)))
+    w = Window.partitionBy("stratum")
+    r = r.withColumn("_m", F.count_if("medium").over(w)).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(Window.partitionBy("stratum", "medium").orderBy("ordinal", "concept")))
+    target = F.when(F.col("_m") / F.col("_n") >= 0.4, F.least(F.lit(2), F.col("_m"))).otherwise(F.least(F.lit(1), F.col("_m")))
+    order = F.when(F.col("medium") & (F.col("_k") <= target), 0).when(~F.col("medium"), 1).otherwise(2)
+    role = F.when(F.col("medium"), "stress_medium").otherwise("anchor_high")
+    return first_n(r.withColumn("_o", order), ["stratum"], ["_o", "_k"], 3, "place").select("stratum", "place", "concept", "feasibility", role.alias("role"))
 
 
 def pilot_strata(spark, sf_dir):
     """The pilot by stratum with its concepts in a list."""
     p = pilot(spark, sf_dir)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "concept"))), lambda x: x["concept"])
-    return p.groupBy("stratum").agg(F.array_join(listed, ", ").alias("concepts"), F.count_if(F.col("feasibility") == "high").alias("n_high"), F.count_if(F.col("feasibility") == "medium").alias("n_medium"))
+    return p.groupBy("stratum").agg(F.array_join(listed, ", ").alias("concepts"), F.count_if(F.col("role") == "anchor_high").alias("n_high"), F.count_if(F.col("role") == "stress_medium").alias("n_medium"))
 
 
 def complete_subset(spark, sf_dir):
@@ -376,7 +388,9 @@ _CUR = f"""WITH ro AS (SELECT {_label('concept')} AS concept, max({_label('strat
  ct AS (SELECT ro.concept, so.source, count(ac.candidate_id) AS n FROM ro CROSS JOIN so LEFT JOIN ac ON ac.concept = ro.concept AND ac.source = so.source GROUP BY ALL),
  rs AS (SELECT re.concept, stratum, feasibility, CASE WHEN g AND o THEN 'bulk_ready' WHEN g THEN 'needs_openpix' WHEN o THEN 'needs_gridnet' ELSE 'needs_swap' END AS status FROM (SELECT re.*, coalesce(g, FALSE) AS g, coalesce(o, FALSE) AS o FROM re LEFT JOIN (SELECT concept, bool_or(source = 'gridnet') AS g, bool_or(source = 'openpix') AS o FROM ca WHERE {_U} AND clip_score >= 0.25 GROUP BY 1) x ON x.concept = re.concept) re),
  sg AS (SELECT e.concept, e.stratum, place, replacement FROM (SELECT ct.concept, any_value(ro.stratum) AS stratum FROM ct JOIN ro USING (concept) GROUP BY 1 HAVING sum(n) = 0) e JOIN (SELECT concept AS replacement, stratum, row_number() OVER (PARTITION BY stratum ORDER BY concept) AS place FROM rs WHERE status = 'bulk_ready') r ON r.stratum = e.stratum AND place <= 5),
- pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN feasibility = 'medium' AND k <= 2 THEN 0 WHEN feasibility = 'high' THEN 1 ELSE 2 END, k) AS place FROM (SELECT *, row_number() OVER (PARTITION BY stratum, feasibility ORDER BY ordinal, concept) AS k FROM ro WHERE feasibility IN ('medium', 'high') AND stratum IS NOT NULL)) WHERE place <= 3),
+ pm AS (SELECT *, coalesce(feasibility = 'medium', FALSE) AS med FROM ro WHERE stratum IS NOT NULL),
+ pk AS (SELECT *, sum(CASE WHEN med THEN 1 ELSE 0 END) OVER (PARTITION BY stratum) AS m, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum, med ORDER BY ordinal, concept) AS k FROM pm),
+ pl AS (SELECT * FROM (SELECT *, CASE WHEN med THEN 'stress_medium' ELSE 'anchor_high' END AS role, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN med AND k <= CASE WHEN m / n >= 0.4 THEN least(2, m) ELSE least(1, m) END THEN 0 WHEN NOT med THEN 1 ELSE 2 END, k) AS place FROM pk) WHERE place <= 3),
  bu AS (SELECT * FROM (SELECT build_row_id, {_label('concept')} AS concept, built_at, {_label('selection_status')} AS status, storage_slug AS slug, num_images, concept_to_images AS images, row_number() OVER (PARTITION BY build_row_id ORDER BY ingested_at) AS rn FROM data_manifest_250) WHERE rn = 1 AND concept IS NOT NULL),
  rb AS (SELECT candidate_id, concept, source, CASE WHEN proxy_used = 'true' AND NOT contains(' ' || {_norm('concept')} || ' ', ' ' || {_norm('source_class_label')} || ' ') THEN 'rolled_back' ELSE 'accepted' END AS state FROM ac),
  tr AS (SELECT DISTINCT * FROM (SELECT concept AS child, 'w:' || split_part(concept, '_', -1) AS parent FROM ro WHERE stratum IS NOT NULL UNION ALL SELECT 'w:' || split_part(concept, '_', -1), 's:' || stratum FROM ro WHERE stratum IS NOT NULL UNION ALL SELECT 's:' || stratum, 'root' FROM ro WHERE stratum IS NOT NULL)),
@@ -389,18 +403,18 @@ SQL = {
     "roster_checks": f"WITH t AS (SELECT {_label('concept')} AS concept, max({_label('stratum')}) AS stratum, max(target_count) AS target_count, count(*) AS n FROM roster_core WHERE {_label('concept')} IS NOT NULL GROUP BY 1) SELECT stratum, count(*) AS n_concepts, CAST(sum(target_count) AS BIGINT) AS n_images, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_repeated FROM t GROUP BY 1",
     "accepted_images": _CUR + f" SELECT concept, source, CAST(slot AS INTEGER) AS slot, candidate_id, {_slug('concept')} || '_' || source || '_' || lpad(CAST(slot AS VARCHAR), 2, '0') || '.jpg' AS file_name, round_even(clip_score, 4) AS clip_score FROM ac",
     "source_counts": _CUR + " SELECT concept, CAST(sum(n) FILTER (WHERE source = 'gridnet') AS BIGINT) AS gridnet, CAST(sum(n) FILTER (WHERE source = 'openpix') AS BIGINT) AS openpix, CAST(sum(n) FILTER (WHERE source = 'freelens') AS BIGINT) AS freelens, CAST(sum(n) AS BIGINT) AS total FROM ct GROUP BY 1",
-    "fill_summary": _CUR + ", t AS (SELECT concept, sum(n) AS n FROM ct GROUP BY 1), a AS (SELECT count(*) AS n_cells, CAST(sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_filled FROM ct), b AS (SELECT CAST(sum(CASE WHEN n = 15 THEN 1 ELSE 0 END) AS BIGINT) AS n_complete, CAST(sum(CASE WHEN n BETWEEN 1 AND 14 THEN 1 ELSE 0 END) AS BIGINT) AS n_partial, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_empty FROM t) SELECT *, round(n_filled / greatest(n_cells, 1), 6) AS fill_rate, CASE WHEN n_filled / greatest(n_cells, 1) >= 0.8 THEN 'expand' WHEN n_filled / greatest(n_cells, 1) >= 0.5 THEN 'adjust' ELSE 'stop' END AS decision FROM a, b",
+    "fill_summary": _CUR + ", t AS (SELECT concept, sum(n) AS n FROM ct GROUP BY 1), a AS (SELECT count(*) AS n_cells, CAST(sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_filled FROM ct), b AS (SELECT CAST(sum(CASE WHEN n = 15 THEN 1 ELSE 0 END) AS BIGINT) AS n_complete, CAST(sum(CASE WHEN n BETWEEN 1 AND 14 THEN 1 ELSE 0 END) AS BIGINT) AS n_partial, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_empty FROM t), w AS (SELECT count(*) AS n_weak_sources FROM (SELECT source FROM ct GROUP BY 1 HAVING avg(CASE WHEN n >= 5 THEN 1.0 ELSE 0.0 END) < 0.5)) SELECT *, round(n_filled / greatest(n_cells, 1), 6) AS fill_rate, CASE WHEN n_partial + n_empty > 8 OR n_weak_sources > 0 THEN 'stop' WHEN n_partial + n_empty > 3 OR n_filled / greatest(n_cells, 1) < 0.85 THEN 'adjust' ELSE 'expand' END AS decision FROM a, b, w",
     "fill_by_source": _CUR + " SELECT source, CAST(sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_filled, round(avg(CASE WHEN n >= 5 THEN 1.0 ELSE 0.0 END), 6) AS fill_rate, CAST(sum(n) AS BIGINT) AS n_images FROM ct GROUP BY 1",
     "rejections": _CUR + f", x AS (SELECT source, {_U} AS u, coalesce({_U} AND clip_score >= 0.25, FALSE) AS good, row_number() OVER (PARTITION BY concept, source, coalesce({_U} AND clip_score >= 0.25, FALSE) ORDER BY fetched_at NULLS FIRST, candidate_id) AS k FROM ca WHERE concept IS NOT NULL AND source IN {_IN}) SELECT source, CASE WHEN NOT u THEN 'no_score' WHEN NOT good THEN 'below_score' WHEN k > 5 THEN 'over_quota' ELSE 'accepted' END AS reason, count(*) AS n FROM x GROUP BY ALL",
-    "worst_concepts": _CUR + " SELECT concept, CAST(sum(n) AS BIGINT) AS n, feasibility FROM ct JOIN ro USING (concept) GROUP BY concept, feasibility ORDER BY sum(n), CASE WHEN coalesce(feasibility, '') <> 'medium' THEN 1 ELSE 0 END, concept LIMIT 15",
-    "work_queue": _CUR + f", o AS (SELECT concept, count(*) AS n_offered, sum(CASE WHEN {_U} AND clip_score >= 0.25 THEN 1 ELSE 0 END) AS n_good, sum(CASE WHEN proxy_used = 'false' THEN 1 ELSE 0 END) AS n_exact FROM ca WHERE concept IS NOT NULL AND source IN {_IN} GROUP BY 1), h AS (SELECT concept, sum(n) AS n_have, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS n_empty, sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) AS n_full FROM ct GROUP BY 1)"
-    + " SELECT concept, CAST(n_empty AS BIGINT) AS n_empty, CAST(15 - n_have AS BIGINT) AS n_missing, CAST(n_full AS BIGINT) AS n_full, CAST(coalesce(n_good, 0) AS BIGINT) AS n_good, CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, coalesce(n_offered, 0) AS n_offered, CAST(coalesce(list_position(['low', 'disputed', 'medium', 'high'], feasibility), 0) AS INTEGER) AS feasible, target_count FROM ro JOIN h USING (concept) LEFT JOIN o USING (concept) WHERE n_have < 15 ORDER BY 2 DESC, 3 DESC, 4 DESC, 5 DESC, 6 DESC, 7 DESC, 8 DESC, 9 DESC NULLS LAST, 1 DESC LIMIT 40",
+    "worst_concepts": _CUR + " SELECT concept, CAST(sum(n) AS BIGINT) AS n, feasibility FROM ct JOIN ro USING (concept) GROUP BY concept, feasibility HAVING sum(n) < 15 ORDER BY sum(n), CASE WHEN coalesce(feasibility, '') <> 'medium' THEN 1 ELSE 0 END, concept LIMIT 15",
+    "work_queue": _CUR + f", o AS (SELECT concept, CAST(sum(CASE WHEN {_U} AND clip_score >= 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS n_hits, count(DISTINCT source_class_id) AS n_classes, count(DISTINCT source_class_label) AS n_labels FROM ca WHERE concept IS NOT NULL AND source IN {_IN} GROUP BY 1), h AS (SELECT concept, CAST(sum(n) AS BIGINT) AS n_images FROM ct GROUP BY 1)"
+    + " SELECT concept, n_images, n_hits, n_classes, n_labels, coalesce(feasibility = 'high', FALSE) AS high FROM ro JOIN h USING (concept) JOIN o USING (concept) WHERE n_images < 15 AND (n_hits > 0 OR n_classes > 0 OR n_labels > 0) ORDER BY n_hits > 0 DESC, n_classes > 0 DESC, n_labels > 0 DESC, coalesce(feasibility = 'high', FALSE) DESC, n_images DESC, n_hits DESC, n_classes DESC, n_labels DESC, concept DESC LIMIT 40",
     "tracker_slots": _CUR + ", sl AS (SELECT concept, source, CAST(slot AS INTEGER) AS slot FROM ro, so, (SELECT unnest(range(1, 6)) AS slot)) SELECT sl.concept, sl.source, sl.slot, coalesce(candidate_id, -1) AS candidate_id FROM sl LEFT JOIN ac ON ac.concept = sl.concept AND ac.source = sl.source AND ac.slot = sl.slot",
     "reserve_status": _CUR + " SELECT * FROM rs",
     "reserve_histogram": _CUR + " SELECT status, count(*) AS n FROM rs GROUP BY 1",
     "suggestions": _CUR + " SELECT concept, stratum, CAST(place AS INTEGER) AS place, replacement FROM sg",
-    "pilot": _CUR + " SELECT stratum, CAST(place AS INTEGER) AS place, concept, feasibility FROM pl",
-    "pilot_strata": _CUR + " SELECT stratum, string_agg(concept, ', ' ORDER BY place) AS concepts, CAST(sum(CASE WHEN feasibility = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS n_high, CAST(sum(CASE WHEN feasibility = 'medium' THEN 1 ELSE 0 END) AS BIGINT) AS n_medium FROM pl GROUP BY 1",
+    "pilot": _CUR + " SELECT stratum, CAST(place AS INTEGER) AS place, concept, feasibility, role FROM pl",
+    "pilot_strata": _CUR + " SELECT stratum, string_agg(concept, ', ' ORDER BY place) AS concepts, CAST(sum(CASE WHEN role = 'anchor_high' THEN 1 ELSE 0 END) AS BIGINT) AS n_high, CAST(sum(CASE WHEN role = 'stress_medium' THEN 1 ELSE 0 END) AS BIGINT) AS n_medium FROM pl GROUP BY 1",
     "complete_subset": _CUR + " SELECT ro.concept, stratum, ordinal FROM ro JOIN (SELECT concept FROM (SELECT concept, source, count(*) AS n FROM ac GROUP BY ALL) GROUP BY 1 HAVING count(*) = 3 AND min(n) = 5 AND max(n) = 5) f ON f.concept = ro.concept",
     "merged_manifest": _CUR + ", f AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY built_at, build_row_id) AS k FROM bu), z AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY built_at DESC, build_row_id DESC) AS k FROM bu WHERE status = 'frozen') SELECT f.concept, coalesce(z.status, f.status) AS status, coalesce(z.slug, f.slug) AS slug, coalesce(z.num_images, f.num_images) AS num_images FROM f LEFT JOIN z ON z.concept = f.concept AND z.k = 1 WHERE f.k = 1",
     "swapped_roster": _CUR + ", w AS (SELECT *, dense_rank() OVER (PARTITION BY stratum ORDER BY concept) AS n FROM sg) SELECT ordinal, ro.stratum, coalesce(replacement, ro.concept) AS concept, replacement IS NOT NULL AS replaced FROM ro LEFT JOIN w ON w.concept = ro.concept AND n = place",

@@ -81,7 +81,7 @@ def rsa_model_order(spark, sf_dir):
     order = {f: i for i, f in enumerate(FAMILIES)}
     m = models(spark).withColumn("family", families.extension("kind"))
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("family")]
-    return m.select("model", "family", families.broad("kind").alias("broad"), families.pilot("kind").alias("pilot"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "model")).alias("place"))
+    return m.select("model", "family", families.broad("kind").alias("broad"), families.pilot("kind").alias("pilot"), families.plot("kind").alias("plot"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "model")).alias("place"))
 
 
 def rsa_scale_curve(spark, sf_dir):
@@ -255,7 +255,7 @@ SQL = {
     "rsa_pair_families": _KINDS + f", f AS (SELECT least({_pilot('kind_a')}, {_pilot('kind_b')}) || '-' || greatest({_pilot('kind_a')}, {_pilot('kind_b')}) AS family, rho FROM k) SELECT family, round(avg(rho), 6) + 0.0 AS mean_rho, count(*) AS n_pairs FROM f GROUP BY ROLLUP (family)",
     "rsa_family_block": _SYM + " SELECT family_a, family_b, round(avg(rho), 6) + 0.0 AS mean_rho, count(*) AS n FROM sf GROUP BY ALL",
     "rsa_bridge": _SYM + " SELECT model_a AS model, " + ", ".join(f"round(avg(rho) FILTER (WHERE family_b = '{f}'), 6) + 0.0 AS to_{f}" for f in FAMILIES) + ", round(avg(rho) FILTER (WHERE family_b = 'vision') - avg(rho) FILTER (WHERE family_b = 'language'), 6) + 0.0 AS vision_minus_language FROM sf GROUP BY 1",
-    "rsa_model_order": "WITH " + CTE + f", f AS (SELECT model, kind, {_ext('kind')} AS family FROM md) SELECT model, family, CASE kind WHEN 'causal' THEN 'language' WHEN 'vision' THEN 'image' WHEN 'vision_language' THEN 'image' ELSE 'other' END AS broad, {_pilot('kind')} AS pilot, CAST(row_number() OVER (ORDER BY list_position(['language','vision','contrastive_vlm','autoregressive_vlm'], family), model) AS INTEGER) AS place FROM f",
+    "rsa_model_order": "WITH " + CTE + f", f AS (SELECT model, kind, {_ext('kind')} AS family FROM md) SELECT model, family, CASE kind WHEN 'causal' THEN 'language' WHEN 'vision' THEN 'image' WHEN 'vision_language' THEN 'image' ELSE 'other' END AS broad, {_pilot('kind')} AS pilot, CASE WHEN kind IN ('causal', 'vision_language', 'vision_language_autoregressive') THEN kind ELSE 'vision' END AS plot, CAST(row_number() OVER (ORDER BY list_position(['language','vision','contrastive_vlm','autoregressive_vlm'], family), model) AS INTEGER) AS place FROM f",
     "rsa_scale_curve": _KINDS + ", c AS (SELECT model_a AS model, size_a AS size, avg(rho) AS mean_rho, count(*) AS n FROM k WHERE kind_a = 'causal' AND kind_b = 'vision' GROUP BY ALL), cr AS (SELECT *, rank() OVER (ORDER BY size) AS x, rank() OVER (ORDER BY mean_rho) AS y FROM c) SELECT model, size, round(mean_rho, 6) + 0.0 AS mean_rho, n, round((SELECT corr(x, y) FROM cr), 6) + 0.0 AS size_rho FROM cr",
     "rsa_cka": _EDGES + _CKA + " SELECT model_a, model_b, round(cka, 6) + 0.0 AS cka FROM cka",
     "rsa_cka_agreement": _EDGES + _CKA + ", b AS (SELECT rho, cka, rank() OVER (ORDER BY rho) AS x, rank() OVER (ORDER BY cka) AS y FROM p JOIN cka USING (model_a, model_b)) SELECT round(corr(rho, cka), 6) + 0.0 AS pearson, round(corr(x, y), 6) + 0.0 AS spearman, count(*) AS n_pairs FROM b",
