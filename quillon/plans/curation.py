@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
@@ -27,17 +27,33 @@ def reserve(spark, sf_dir) -> DataFrame:
     return t.where("concept is not null").groupBy("concept").agg(F.max("stratum").alias("stratum"), F.max("feasibility").alias("feasibility"), F.min("added_at").alias("added_at"))
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """The candidates, each once, with labels in canonical form."""
+def offered(spark, sf_dir, where=None) -> DataFrame:
+    """The candidate rows with labels in canonical form, repeated ones too."""
     cols = ["candidate_id", "run_id", "source_class_label", "source_class_id", "proxy_used", "acquisition_method", "candidate_filename", "clip_score", "fetched_at"]
     t = table(spark, sf_dir, "candidate").select(label_form("concept").alias("concept"), label_form("source").alias("source"), *cols)
-    return t.dropDuplicates(["candidate_id"])
+    return t if where is None else t.where(where)
+
+
+def candidates(spark, sf_dir, where=None) -> DataFrame:
+    """The candidates that meet ``where``, each once; a repeated row is the same, so it is filtered before."""
+    return offered(spark, sf_dir, where).dropDuplicates(["candidate_id"])
+
+
+def required() -> Column:
+    return F.col("concept").isNotNull() & F.col("source").isin(SOURCES)
+
+
+def good() -> Column:
+    return usable_score("clip_score") & (F.col("clip_score") >= SCORE)
 
 
 def accepted(spark, sf_dir) -> DataFrame:
-    """The first candidates of each concept and required source that reach the score, numbered as slots."""
-    ok = candidates(spark, sf_dir).where(F.col("concept").isNotNull() & F.col("source").isin(SOURCES) & usable_score("clip_score") & (F.col("clip_score") >= SCORE))
-    return first_n(ok, ["concept", "source"], ["fetched_at", "candidate_id"], TARGET)
+    """The first candidates of each concept and required source that reach the score, numbered as slots.
+
+    Repeated rows share a rank and go once the ranks are cut, so only the kept rows are shuffled.
+    """
+    place = F.dense_rank().over(Window.partitionBy("concept", "source").orderBy("fetched_at", "candidate_id"))
+    return offered(spark, sf_dir, required() & good()).withColumn("slot", place).where(F.col("slot") <= TARGET).dropDuplicates(["candidate_id"])
 
 
 def counts(spark, sf_dir) -> DataFrame:
@@ -92,10 +108,9 @@ def fill_by_source(spark, sf_dir):
 
 def rejections(spark, sf_dir):
     """Why candidates of a required source were not taken."""
-    c = candidates(spark, sf_dir).where(F.col("concept").isNotNull() & F.col("source").isin(SOURCES))
-    good = usable_score("clip_score") & (F.col("clip_score") >= SCORE)
+    c = candidates(spark, sf_dir, required())
     order = Window.partitionBy("concept", "source", "_good").orderBy("fetched_at", "candidate_id")
-    c = c.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_k", F.row_number().over(order))
+    c = c.withColumn("_good", F.coalesce(good(), F.lit(False))).withColumn("_k", F.row_number().over(order))
     reason = F.when(~F.coalesce(usable_score("clip_score"), F.lit(False)), "no_score").when(~F.col("_good"), "below_score").when(F.col("_k") > TARGET, "over_quota").otherwise("accepted")
     return c.groupBy("source", reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -112,9 +127,8 @@ def work_queue(spark, sf_dir):
     First whether there are hits, classes and labels at all and whether feasibility is high, then images
     held, hits, classes, labels, name.
     """
-    c = candidates(spark, sf_dir).where(F.col("concept").isNotNull() & F.col("source").isin(SOURCES))
-    good = usable_score("clip_score") & (F.col("clip_score") >= SCORE)
-    offer = c.groupBy("concept").agg(F.count_if(good).alias("n_hits"), F.countDistinct("source_class_id").alias("n_classes"), F.countDistinct("source_class_label").alias("n_labels"))
+    c = candidates(spark, sf_dir, required())
+    offer = c.groupBy("concept").agg(F.count_if(good()).alias("n_hits"), F.countDistinct("source_class_id").alias("n_classes"), F.countDistinct("source_class_label").alias("n_labels"))
     have = counts(spark, sf_dir).groupBy("concept").agg(F.sum("n").alias("n_images"))
     df = roster(spark, sf_dir).join(have, "concept").join(offer, "concept").where((F.col("n_images") < TARGET * len(SOURCES)) & ((F.col("n_hits") > 0) | (F.col("n_classes") > 0) | (F.col("n_labels") > 0)))
     high = F.coalesce(F.col("feasibility") == "high", F.lit(False))
@@ -131,8 +145,8 @@ def tracker_slots(spark, sf_dir):
 
 def reserve_status(spark, sf_dir):
     """Reserve concepts by which required sources offer a good candidate."""
-    good = candidates(spark, sf_dir).where(usable_score("clip_score") & (F.col("clip_score") >= SCORE)).groupBy("concept").agg(*[F.bool_or(F.col("source") == s).alias(s) for s in SOURCES[:2]])
-    r = reserve(spark, sf_dir).join(good, "concept", "left")
+    ready = offered(spark, sf_dir, good()).groupBy("concept").agg(*[F.bool_or(F.col("source") == s).alias(s) for s in SOURCES[:2]])
+    r = reserve(spark, sf_dir).join(ready, "concept", "left")
     a, b = (F.coalesce(s, F.lit(False)) for s in SOURCES[:2])
     status = F.when(a & b, "bulk_ready").when(a, f"needs_{SOURCES[1]}").when(b, f"needs_{SOURCES[0]}").otherwise("needs_swap")
     return r.select("concept", "stratum", "feasibility", status.alias("status"))
@@ -250,7 +264,7 @@ def label_matches(spark, sf_dir):
 
 def label_hits(spark, sf_dir):
     """At most four hits per class and way of finding; later ways are skipped once earlier ones hold four."""
-    c = candidates(spark, sf_dir).where("source_class_id is not null and acquisition_method is not null").select("source_class_id", "acquisition_method", "candidate_id")
+    c = candidates(spark, sf_dir, F.expr("source_class_id is not null and acquisition_method is not null")).select("source_class_id", "acquisition_method", "candidate_id")
     return capped_splits(c, "source_class_id", "acquisition_method", ["candidate_id"], 4)
 
 
@@ -358,7 +372,7 @@ def candidate_strata(spark, sf_dir):
     """Candidates and mean score of each stratum, through roster and reserve."""
     both = roster(spark, sf_dir).select("concept", "stratum").unionByName(reserve(spark, sf_dir).select("concept", "stratum")).groupBy("concept").agg(F.max("stratum").alias("stratum"))
     # Counts per concept first: a concept with a tenth of all rows is one row in the join.
-    c = candidates(spark, sf_dir).where("concept is not null").groupBy("concept").agg(F.count("*").alias("n"), F.sum(F.when(usable_score("clip_score"), F.col("clip_score"))).alias("s"), F.count_if(usable_score("clip_score")).alias("k"))
+    c = candidates(spark, sf_dir, F.col("concept").isNotNull()).groupBy("concept").agg(F.count("*").alias("n"), F.sum(F.when(usable_score("clip_score"), F.col("clip_score"))).alias("s"), F.count_if(usable_score("clip_score")).alias("k"))
     return lookup_join(c, both, ["concept"], "left", "concept").groupBy("stratum").agg(F.sum("n").alias("n_candidates"), F.round(F.sum("s") / F.nullif(F.sum("k"), F.lit(0)), 6).alias("mean_score"))
 
 

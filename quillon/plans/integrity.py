@@ -44,7 +44,7 @@ def balance_checks(spark, sf_dir):
 
 def score_coverage(spark, sf_dir):
     """Concepts of which no candidate, or only some, have a usable score."""
-    c = candidates(spark, sf_dir).where("concept is not null").groupBy("concept").agg(F.count("*").alias("n"), F.count_if(F.expr("clip_score is not null and not isnan(clip_score) and clip_score between 0 and 1")).alias("k"))
+    c = candidates(spark, sf_dir, F.expr("concept is not null")).groupBy("concept").agg(F.count("*").alias("n"), F.count_if(F.expr("clip_score is not null and not isnan(clip_score) and clip_score between 0 and 1")).alias("k"))
     detail = F.concat_ws("/", "k", "n")
     return all_of(violations(c, "no_scores", F.col("k") == 0, F.col("concept"), detail), violations(c, "some_scores", (F.col("k") > 0) & (F.col("k") < F.col("n")), F.col("concept"), detail))
 

@@ -61,21 +61,21 @@ def chosen_concepts(spark, sf_dir):
 
 def fallback_candidates(spark, sf_dir):
     """Up to three candidates a concept: detections first, then label matches."""
-    c = candidates(spark, sf_dir).where("concept is not null and acquisition_method is not null")
+    c = candidates(spark, sf_dir, F.expr("concept is not null and acquisition_method is not null"))
     first, second = (c.where(F.col("acquisition_method").contains(w)) for w in ("detection", "label"))
     return fallback([first, second], "concept", "candidate_id", ["fetched_at"], 3)
 
 
 def backfilled_scores(spark, sf_dir):
     """Missing scores filled with the run's mean, scores that are there kept."""
-    c = candidates(spark, sf_dir).where("run_id is not null").select("candidate_id", "run_id", F.when(~F.isnan("clip_score") & F.col("clip_score").between(0, 1), F.col("clip_score")).alias("score"))
+    c = candidates(spark, sf_dir, F.expr("run_id is not null")).select("candidate_id", "run_id", F.when(~F.isnan("clip_score") & F.col("clip_score").between(0, 1), F.col("clip_score")).alias("score"))
     mean = c.groupBy("run_id").agg(F.avg("score").alias("new"))
     return backfill(c, mean, "run_id", "score").groupBy("run_id").agg(F.count("score").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
 def source_presence(spark, sf_dir):
     """Sources of candidates against those of files, present in one only marked as skipped."""
-    c = candidates(spark, sf_dir).where("source is not null").groupBy("source").agg(F.count("*").alias("n_candidates"))
+    c = candidates(spark, sf_dir, F.expr("source is not null")).groupBy("source").agg(F.count("*").alias("n_candidates"))
     f = table(spark, sf_dir, "image_file").groupBy("file_id").agg(F.max(label_form("source")).alias("source")).where("source is not null").groupBy("source").agg(F.count("*").alias("n_files"))
     both = c.join(f, "source", "full_outer")
     state = F.when(F.col("n_files").isNull(), "no_files").when(F.col("n_candidates").isNull(), "no_candidates").otherwise("both")
@@ -113,7 +113,7 @@ def largest_boxes(spark, sf_dir):
 
 def class_hits(spark, sf_dir):
     """Hits of each class: in all, the most in one run, and their first ids in order."""
-    c = candidates(spark, sf_dir).where("source_class_id is not null and run_id is not null")
+    c = candidates(spark, sf_dir, F.expr("source_class_id is not null and run_id is not null"))
     per = c.groupBy("source_class_id", "run_id").agg(F.count("*").alias("n"))
     first = c.withColumn("k", F.row_number().over(Window.partitionBy("source_class_id").orderBy("candidate_id"))).where("k <= 4").groupBy("source_class_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("candidate_id")), lambda i: i.cast("string")), ",").alias("first_ids"))
     return per.groupBy("source_class_id").agg(F.sum("n").alias("n_hits"), F.max("n").alias("most")).join(first, "source_class_id")
