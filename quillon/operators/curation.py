@@ -95,26 +95,31 @@ def greedy_accept(df: DataFrame, group: str, record: str, hash_bits: str, source
     """group, record, accepted, reason: candidates taken one by one until each source of a group has ``need``.
 
     A candidate within ``distance`` bits of one accepted before in its group is a near duplicate. The
-    outcome depends on the order, so a group is one task; its state is the accepted hashes, at most
-    ``need`` per source, and rows stream by. Candidates after a source's quota is met leave no row.
-    Give rows that passed the plain filters only.
+    outcome depends on the order, so a group's rows are read one after the other, sorted by the
+    engine and streamed by; what is kept of a group are its accepted hashes, at most ``need`` per
+    source. Candidates after a source's quota is met leave no row. Rows with a null group are left out,
+    a null hash is near to nothing. Give rows that passed the plain filters only.
     """
     schema = f"{group} string, {record} long, accepted boolean, reason string"
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[int] = []
-        held: dict[str, int] = {}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        out = []
-        for rec, bits, src in rows[[record, hash_bits, source]].itertuples(index=False):
-            if held.get(src, 0) >= need:
-                continue
-            near = any(bin((bits ^ k) & ((1 << 64) - 1)).count("1") <= distance for k in kept)
-            if not near:
-                kept.append(bits)
-                held[src] = held.get(src, 0) + 1
-            out.append((key[0], rec, not near, "near_duplicate" if near else "accepted"))
-        yield pd.DataFrame(out, columns=[group, record, "accepted", "reason"])
-
-    columns = list(dict.fromkeys([group, record, hash_bits, source, *order]))
-    return df.where(F.col(group).isNotNull()).select(*columns).groupBy(group).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept, held = None, [], {}
+        for pdf in batches:
+            out = []
+            for g, rec, bits, src in pdf[["_g", record, hash_bits, source]].itertuples(index=False):
+                if g != now:
+                    now, kept, held = g, [], {}
+                if held.get(src, 0) >= need:
+                    continue
+                known = not pd.isna(bits)
+                near = known and any(((int(bits) ^ k) & ((1 << 64) - 1)).bit_count() <= distance for k in kept)
+                if not near:
+                    held[src] = held.get(src, 0) + 1
+                    if known:
+                        kept.append(int(bits))
+                out.append((g, rec, not near, "near_duplicate" if near else "accepted"))
+            yield pd.DataFrame(out, columns=[group, record, "accepted", "reason"])
+
+    columns = [c for c in dict.fromkeys([record, hash_bits, source, *order]) if c != group]
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), *columns)
+    return rows.repartition("_g").sortWithinPartitions("_g", *order).mapInPandas(run, schema)
