@@ -117,7 +117,8 @@ def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k:
     keys = [f"_p{i}" for i in range(len(part))]
     reps, ids = distinct_vectors(rows, keys, "_id", "_v", k)
     reps = reps.withColumn("_asks", F.exists("_ids", lambda i: F.pmod(i, F.lit(ask_every)) == 0))
-    placed = sharded(reps.withColumn("_key", F.col("_h1")), keys, "_v", "_key", sizes(rows, keys, shard_rows), True, shard_rows, params.seed)
+    sizing = rows.select(*keys, "_v", F.xxhash64(*keys, "_v").alias("_key"))
+    placed = sharded(reps.withColumn("_key", F.col("_h1")), keys, "_v", "_key", sizes(rows, keys, shard_rows), True, shard_rows, params.seed, sizing=sizing)
     placed = placed.where("_home or _asks").select(*keys, "_shard", "_piece", "_home", "_asks", "_ids", "_v")
     found = placed.groupBy(*keys, "_shard", "_piece").applyInArrow(_search(k, least, params, sure), "vector_id long, neighbour_id long, cosine double")
     asking = F.pmod(F.col("vector_id"), F.lit(ask_every)) == 0
