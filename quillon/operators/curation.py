@@ -106,12 +106,11 @@ def greedy_accept(df: DataFrame, group: str, record: str, hash_bits: str, source
         now, kept, held = None, [], {}
         for pdf in batches:
             out = []
-            for g, rec, bits, src in pdf[["_g", record, hash_bits, source]].itertuples(index=False):
+            for g, rec, bits, known, src in pdf[["_g", record, "_h", "_known", source]].itertuples(index=False):
                 if g != now:
                     now, kept, held = g, [], {}
                 if held.get(src, 0) >= need:
                     continue
-                known = not pd.isna(bits)
                 near = known and any(((int(bits) ^ k) & ((1 << 64) - 1)).bit_count() <= distance for k in kept)
                 if not near:
                     held[src] = held.get(src, 0) + 1
@@ -120,6 +119,6 @@ def greedy_accept(df: DataFrame, group: str, record: str, hash_bits: str, source
                 out.append((g, rec, not near, "near_duplicate" if near else "accepted"))
             yield pd.DataFrame(out, columns=[group, record, "accepted", "reason"])
 
-    columns = [c for c in dict.fromkeys([record, hash_bits, source, *order]) if c != group]
-    rows = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), *columns)
+    columns = [c for c in dict.fromkeys([record, source, *order]) if c != group]
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(hash_bits).isNotNull().alias("_known"), F.coalesce(hash_bits, F.lit(0).cast("long")).alias("_h"), *columns)
     return rows.repartition("_g").sortWithinPartitions("_g", *order).mapInPandas(run, schema)
