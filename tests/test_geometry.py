@@ -119,7 +119,7 @@ def test_hash_and_distance(spark):
 def test_greedy_accept(spark):
     data = [("c", 1, 0b0000, "s"), ("c", 2, 0b0001, "s"), ("c", 3, 0b1111, "s"), ("c", 4, 0b1111 << 8, "s"), ("c", 5, 0b1111, "t"), ("c", 6, 0b1111 << 20, "t"), (None, 7, 0, "s"), ("d", 8, 1 << 62, "s"), ("d", 9, (1 << 62) + 7, "s"), ("d", 10, None, "t"), ("d", 11, None, "t")]
     df = spark.createDataFrame(data, "g string, id long, h long, src string")
-    got = rows(greedy_accept(df, "g", "id", "h", "src", ["src", "id"], 2, 2).select("id", "accepted"))
+    got = sorted(map(tuple, greedy_accept(df, "g", "id", "h", "src", ["src", "id"], 2, 2).select("id", "accepted").collect()))
     # 2 is near 1; 4 comes after the quota of s and leaves no row; 5 is near 3, of another source.
     assert got == [(1, True), (2, False), (3, True), (5, False), (6, True), (8, True), (9, True), (10, True), (11, True)]
 
