@@ -101,8 +101,8 @@ def _rows(a: list, b: list, s: list) -> pa.Table:
 def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k: int = 10, least: float = -1.0, params: HashParams = HashParams(), sure: float | None = None, ask_every: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vector_id, neighbour_id, cosine, position: the ``k`` most similar others in the same part.
 
-    ``df`` holds usable vectors (see ``usable_vector``), of one length per part; ``record`` is a
-    bigint id, and a repeated id is the same vector again. Equal cosines (to nine decimals): smaller
+    ``df`` holds usable vectors (see ``usable_vector``); those of another length are another part.
+    ``record`` is a bigint id, and a repeated id is the same vector again. Equal cosines (to nine decimals): smaller
     id first. Neighbours under ``least`` are left out. The rows whose id is divisible by ``ask_every``
     ask; all rows are searched. With ``sure``, a query whose k-th candidate is less similar
     than that is completed by an exact scan of its shards in blocks. A vector that is alone in its
@@ -113,8 +113,8 @@ def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k:
     instead of copies, each standing for its ``k + 1`` smallest ids. Further copies, however many,
     have those as their neighbours and are joined to them by id alone.
     """
-    rows = df.select(*[F.coalesce(F.col(p).cast("string"), F.lit("\u0001")).alias(f"_p{i}") for i, p in enumerate(part)], F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v"))
-    keys = [f"_p{i}" for i in range(len(part))]
+    rows = df.select(*[F.coalesce(F.col(p).cast("string"), F.lit("\u0001")).alias(f"_p{i}") for i, p in enumerate(part)], F.size(vector).cast("string").alias("_dim"), F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v"))
+    keys = [*[f"_p{i}" for i in range(len(part))], "_dim"]
     reps, ids = distinct_vectors(rows, keys, "_id", "_v", k)
     reps = reps.withColumn("_asks", F.exists("_ids", lambda i: F.pmod(i, F.lit(ask_every)) == 0))
     sizing = rows.select(*keys, "_v", F.xxhash64(*keys, "_v").alias("_key"))

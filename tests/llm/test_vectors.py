@@ -107,7 +107,7 @@ def test_nothing_and_nulls(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert similar_vectors(empty, ["part"], "id", "v").count() == 0
     assert cluster_vectors(empty, ["part"], "id", "v").count() == 0
-    null = spark.createDataFrame([(1, None, [1.0, 0.0], None), (2, None, [1.0, 0.1], None), (3, "p", [1.0, 0.0], None)], SCHEMA)
+    null = spark.createDataFrame([(1, None, [1.0, 0.0], None), (2, None, [1.0, 0.1], None), (3, "p", [1.0, 0.0], None), (4, None, [1.0, 0.0, 0.1], None)], SCHEMA)
     assert rows(similar_vectors(null, ["part"], "id", "v").select("vector_id", "neighbour_id")) == [(1, 2), (2, 1)]
     assert rows(cluster_vectors(null, ["part"], "id", "v").select("cluster_id", "vector_id")) == [(1, 1), (1, 2)]
 
