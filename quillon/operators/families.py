@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The names of kinds, families and pair types below are fixed values.
+
+
 def _case(kind: Column | str, known: dict[str, str], other: str) -> Column:
     c = F.col(kind) if isinstance(kind, str) else kind
     out = F.lit(other)

@@ -12,6 +12,8 @@ from quillon.operators.ranking import first_seen, last_wins
 from quillon.plans.durable import lookup_join
 from quillon.plans.tables import table
 
+#: The roles of pilot concepts.
+ROLES = ("stress_medium", "anchor_high")
 SOURCES, TARGET, SCORE = ["gridnet", "openpix", "freelens"], 5, 0.25
 FEASIBLE = ["low", "disputed", "medium", "high"]
 
@@ -175,7 +177,7 @@ def pilot(spark, sf_dir):
     r = r.withColumn("_m", F.count_if("medium").over(w)).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(Window.partitionBy("stratum", "medium").orderBy("ordinal", "concept")))
     target = F.when(F.col("_m") / F.col("_n") >= 0.4, F.least(F.lit(2), F.col("_m"))).otherwise(F.least(F.lit(1), F.col("_m")))
     order = F.when(F.col("medium") & (F.col("_k") <= target), 0).when(~F.col("medium"), 1).otherwise(2)
-    role = F.when(F.col("medium"), "stress_medium").otherwise("anchor_high")
+    role = F.when(F.col("medium"), ROLES[0]).otherwise(ROLES[1])
     return first_n(r.withColumn("_o", order), ["stratum"], ["_o", "_k"], 3, "place").select("stratum", "place", "concept", "feasibility", role.alias("role"))
 
 
@@ -183,7 +185,7 @@ def pilot_strata(spark, sf_dir):
     """The pilot by stratum with its concepts in a list."""
     p = pilot(spark, sf_dir)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "concept"))), lambda x: x["concept"])
-    return p.groupBy("stratum").agg(F.array_join(listed, ", ").alias("concepts"), F.count_if(F.col("role") == "anchor_high").alias("n_high"), F.count_if(F.col("role") == "stress_medium").alias("n_medium"))
+    return p.groupBy("stratum").agg(F.array_join(listed, ", ").alias("concepts"), F.count_if(F.col("role") == ROLES[1]).alias("n_high"), F.count_if(F.col("role") == ROLES[0]).alias("n_medium"))
 
 
 def complete_subset(spark, sf_dir):
