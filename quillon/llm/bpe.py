@@ -174,7 +174,11 @@ SALTS = 8
 
 
 def _with_words(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, at, word, _salt) of all words of all texts, and the encoded words on each salt."""
+    """Rows (_id, at, word, _salt) of all words of all texts, and the encoded words on each salt.
+
+    Each distinct word stands once a salt, so the encoded side is the small one of the join: it is
+    hashed per partition, and the occurrences, by far the more rows, need no sort.
+    """
     rows = spread(docs, "_id").select("_id", F.posexplode(words(F.col("_text"))).alias("at", "word"))
     coded = encode_words(rows.select("word").distinct(), path).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")), coded
@@ -191,7 +195,7 @@ def encode(df: DataFrame, record: str, text: str, path: str | None = None) -> Da
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
     docs = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.col(text).alias("_text"))
     rows, coded = _with_words(docs, path)
-    joined = rows.join(coded, ["word", "_salt"])
+    joined = rows.join(coded.hint("shuffle_hash"), ["word", "_salt"])
     ids = joined.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select("_id", F.flatten("parts.ids").alias("ids"))
     empty = docs.where("_text is null or _text = ''").select("_id", F.array().cast("array<int>").alias("ids"))
     return ids.unionByName(empty).withColumnRenamed("_id", record)
@@ -202,7 +206,7 @@ def token_counts(df: DataFrame, record: str, text: str, path: str | None = None)
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
     docs = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.col(text).alias("_text"))
     rows, coded = _with_words(docs, path)
-    counted = rows.groupBy("_id", "word", "_salt").agg(F.count("*").alias("n")).join(coded.select("word", "_salt", F.size("ids").alias("size")), ["word", "_salt"])
+    counted = rows.groupBy("_id", "word", "_salt").agg(F.count("*").alias("n")).join(coded.select("word", "_salt", F.size("ids").alias("size")).hint("shuffle_hash"), ["word", "_salt"])
     sums = counted.groupBy("_id").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens"))
     empty = docs.where("_text is null or _text = ''").select("_id", F.lit(0).cast("long").alias("n_tokens"))
     return sums.unionByName(empty).withColumnRenamed("_id", record)
