@@ -9,7 +9,7 @@ import numpy as np
 
 #: Candidates that a query keeps beyond its k before the distances are taken in double precision.
 SLACK = 12
-_GEMM_PAIRS, _BLOCK = 2048, 1024
+_GEMM_PAIRS, _BLOCK, _SCAN_PAIRS = 2048, 1024, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -140,18 +140,20 @@ def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams, lea
     return best
 
 
-def complete(base: np.ndarray, queries: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``best`` with an exact scan, in blocks, for queries whose k-th candidate is less similar than ``sure``.
+def complete(base: np.ndarray, queries: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best`` with an exact scan, in blocks, for queries whose k-th candidate is less similar than their ``sure``.
 
-    Below that similarity neighbours share too few buckets for the hashes to find them reliably.
+    Below that similarity neighbours share too few buckets for the hashes to find them reliably. A
+    query with a ``sure`` under -1 is left as it is.
     """
     q, c, s = best
     keep = min(k + SLACK, len(base))
-    good = np.bincount(q[s >= sure], minlength=len(queries)) > k
+    good = (np.bincount(q[s >= sure[q]], minlength=len(queries)) > k) | (sure < -1)
     rest = np.flatnonzero(~good)
     found = [(q[good[q]], c[good[q]], s[good[q]])]
-    for lo in range(0, len(rest), _BLOCK):
-        ask = rest[lo : lo + _BLOCK]
+    block = max(1, min(_BLOCK, _SCAN_PAIRS // max(1, len(base))))
+    for lo in range(0, len(rest), block):
+        ask = rest[lo : lo + block]
         sims = queries[ask] @ base.T
         top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
         found.append((np.repeat(ask, keep), top.ravel(), np.take_along_axis(sims, top, 1).ravel()))

@@ -13,6 +13,9 @@ from quillon.plans.durable import durable, lookup_join
 
 #: Cosines are compared to so many decimals; below that, equal directions count as equally similar.
 DECIMALS = 9
+#: A ``sure`` under all cosines: a query that is never scanned; its negative: one that always is.
+OPEN = -2.0
+FOUND = "vector_id long, neighbour_id long, cosine double"
 
 
 def distinct_vectors(df: DataFrame, part: list[str], record: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +30,7 @@ def distinct_vectors(df: DataFrame, part: list[str], record: str, vector: str, k
     return vectors.join(few, ["_h1", "_h2"]), rows.select("_h1", "_h2", record)
 
 
-def _search(k: int, least: float, params: HashParams, sure: float | None):
+def _search(k: int, least: float, params: HashParams, completes: bool):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("_ids").combine_chunks().to_pylist()
         x64 = unit(matrix(table.column("_v")))
@@ -37,8 +40,8 @@ def _search(k: int, least: float, params: HashParams, sure: float | None):
         if not len(home) or not len(asks):
             return _rows([], [], [])
         best = candidates(x[home], x[asks], k, params, least)
-        if sure is not None:
-            best = complete(x[home], x[asks], best, k, sure)
+        if completes:
+            best = complete(x[home], x[asks], best, k, table.column("_sure").to_numpy()[asks])
         q, c = asks[best[0]], home[best[1]]
         q, c = _with_ties(x, home, q, c, best[2], k)
         s = np.concatenate([np.einsum("ij,ij->i", x64[q[i : i + 65536]], x64[c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)]).round(DECIMALS)
@@ -98,6 +101,27 @@ def _rows(a: list, b: list, s: list) -> pa.Table:
     return pa.table({"vector_id": pa.array(a, pa.int64()), "neighbour_id": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64())})
 
 
+def _whole_parts(reps: DataFrame, found: DataFrame, keys: list[str], large: DataFrame, k: int, least: float, params: HashParams, sure: float, ask_every: int, shard_rows: int) -> DataFrame:
+    """The asking vectors of large parts against all rows of their part, as vector_id, neighbour_id, cosine.
+
+    ``found`` tells which already have ``k`` neighbours at ``sure`` or above: those ask the hashes of every
+    piece, the others scan every piece. Pieces are cut by row hash and the asking vectors go by in
+    blocks, so that no task grows with the part.
+    """
+    whole = lookup_join(reps, large, keys, "inner", "_h1").withColumn("_pieces", F.pow(F.lit(2), F.col("_bits")).cast("int")).drop("_bits")
+    done = found.where(F.col("cosine") >= sure).groupBy("vector_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(F.col("vector_id").alias("_asking"), F.lit(OPEN).alias("_done"))
+    asking = F.element_at(F.filter("_ids", lambda i: F.pmod(i, F.lit(ask_every)) == 0), 1)
+    asks = whole.where("_asks").withColumn("_asking", asking).join(done, "_asking", "left").withColumn("_sure", F.coalesce("_done", F.lit(-OPEN)))
+    blocks = durable(asks.groupBy(*keys).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_blocks")))
+    zero = F.lit(0)
+    base = lookup_join(whole, blocks, keys, "inner", "_h1").withColumn("_block", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
+    base = base.withColumns({"_shard": F.pmod(F.xxhash64("_h1", "_h2"), F.col("_pieces")).cast("int"), "_home": F.lit(True), "_asks": F.lit(False), "_sure": F.lit(OPEN)})
+    asks = lookup_join(asks, blocks, keys, "inner", "_h1").withColumn("_block", F.pmod(F.xxhash64("_h2", "_h1"), F.col("_blocks")).cast("int"))
+    asks = asks.withColumn("_shard", F.explode(F.sequence(zero, F.col("_pieces") - 1))).withColumns({"_home": F.lit(False), "_asks": F.lit(True)})
+    columns = [*keys, "_shard", "_block", "_home", "_asks", "_sure", "_ids", "_v"]
+    return base.select(*columns).unionByName(asks.select(*columns)).groupBy(*keys, "_shard", "_block").applyInArrow(_search(k, least, params, True), FOUND)
+
+
 def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k: int = 10, least: float = -1.0, params: HashParams = HashParams(), sure: float | None = None, ask_every: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vector_id, neighbour_id, cosine, position: the ``k`` most similar others in the same part.
 
@@ -105,8 +129,8 @@ def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k:
     ``record`` is a bigint id, and a repeated id is the same vector again. Equal cosines (to nine decimals): smaller
     id first. Neighbours under ``least`` are left out. The rows whose id is divisible by ``ask_every``
     ask; all rows are searched. With ``sure``, a query whose k-th candidate is less similar
-    than that is completed by an exact scan of its shards in blocks. A vector that is alone in its
-    part has no neighbours; an empty table gives none. Null parts are a part of their own. Other
+    than that is completed by an exact scan of its part in blocks; in a part of several shards all
+    asking vectors meet every row of the part. A vector that is alone in its part has no neighbours; an empty table gives none. Null parts are a part of their own. Other
     columns are ignored.
 
     Vectors are hashed in shards of bounded size (``quillon.llm.shards``); distinct vectors are sent
@@ -118,10 +142,19 @@ def similar_vectors(df: DataFrame, part: list[str], record: str, vector: str, k:
     reps, ids = distinct_vectors(rows, keys, "_id", "_v", k)
     reps = reps.withColumn("_asks", F.exists("_ids", lambda i: F.pmod(i, F.lit(ask_every)) == 0))
     sizing = rows.select(*keys, "_v", F.xxhash64(*keys, "_v").alias("_key"))
-    placed = sharded(reps.withColumn("_key", F.col("_h1")), keys, "_v", "_key", sizes(rows, keys, shard_rows), True, shard_rows, params.seed, sizing=sizing)
-    placed = placed.where("_home or _asks").select(*keys, "_shard", "_piece", "_home", "_asks", "_ids", "_v")
-    found = placed.groupBy(*keys, "_shard", "_piece").applyInArrow(_search(k, least, params, sure), "vector_id long, neighbour_id long, cosine double")
+    large = sizes(rows, keys, shard_rows)
+    wide = sure is not None and not large.isEmpty()
+    if sure is not None:
+        # Vectors of large parts are completed over the whole part afterwards.
+        reps = reps.withColumn("_sure", F.lit(sure)) if not wide else durable(lookup_join(reps, large, keys, "left", "_h1").withColumn("_sure", F.when(F.col("_bits").isNull(), sure).otherwise(OPEN)).drop("_bits"))
+    placed = sharded(reps.withColumn("_key", F.col("_h1")), keys, "_v", "_key", large, True, shard_rows, params.seed, sizing=sizing)
+    placed = placed.where("_home or _asks").select(*keys, "_shard", "_piece", "_home", "_asks", *["_sure"] * (sure is not None), "_ids", "_v")
+    found = placed.groupBy(*keys, "_shard", "_piece").applyInArrow(_search(k, least, params, sure is not None), FOUND)
     asking = F.pmod(F.col("vector_id"), F.lit(ask_every)) == 0
+    if wide:
+        found = durable(found.where(asking).distinct())
+        more = _whole_parts(reps.drop("_sure"), found, keys, large, k, least, params, sure, ask_every, shard_rows)
+        found = found.unionByName(more).groupBy("vector_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
     # Of more than k + 1 copies, those beyond have the k smallest ids as their neighbours.
     ranked = ids.withColumn("_rank", F.dense_rank().over(Window.partitionBy("_h1", "_h2").orderBy("_id"))).where(F.col("_rank") <= k + 2)
     full = ranked.groupBy("_h1", "_h2").agg(F.max("_rank").alias("_m"), F.array_sort(F.collect_set("_id")).alias("_ids")).where(F.col("_m") > k + 1)

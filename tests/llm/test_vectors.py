@@ -81,6 +81,18 @@ def test_complete_lists(spark, groups):
     assert right / len(got) > 0.97
 
 
+def test_complete_lists_do_not_depend_on_shards(spark, groups):
+    """Lone vectors have their true neighbours in cells they do not visit."""
+    rng = np.random.default_rng(4)
+    groups = {**groups, "lone": rng.normal(size=(500, 32)).astype(np.float32)}
+    lists, _ = truth(groups, 10, -1)
+    got = {}
+    for r in similar_vectors(frame(spark, groups), ["part"], "id", "v", 10, sure=0.9, ask_every=7, shard_rows=60).collect():
+        got.setdefault(r["vector_id"], []).append((r["position"], r["neighbour_id"]))
+    assert set(got) == {i for i in lists if i % 7 == 0 and lists[i]}
+    assert sum([j for _, j in sorted(v)] == lists[i] for i, v in got.items()) / len(got) > 0.97
+
+
 @pytest.mark.parametrize("shard_rows", [10_000, 60])
 def test_clusters_are_exact(spark, groups, shard_rows):
     _, comps = truth(groups, 1, 0.8)
