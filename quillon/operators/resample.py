@@ -6,6 +6,8 @@ executors or retries, and any engine with md5 can repeat it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def intervals(drawn: DataFrame, value: str, by: list[str], low: float = 0.025, h
     return drawn.groupBy(*by).agg(F.percentile(x, low).alias("ci_low"), F.percentile(x, high).alias("ci_high"))
 
 
+def _products(orders: pa.Table, sides: pa.Table) -> pa.Table:
+    """perm, s of one pair: the sum of products of both sides' centred ranks, the first side relabelled by each order."""
+    first, i, j, c = (sides.column(n).to_numpy() for n in ("first", "i_at", "j_at", "c"))
+    pi = np.array(orders.column("pi").to_pylist(), np.int64) - 1
+    a = np.zeros((pi.shape[1], pi.shape[1]))
+    a[i[first] - 1, j[first] - 1] = a[j[first] - 1, i[first] - 1] = c[first]
+    x, y, b = i[~first] - 1, j[~first] - 1, c[~first]
+    step = max(1, (1 << 20) // max(1, len(b)))
+    s = np.concatenate([a[pi[k : k + step][:, x], pi[k : k + step][:, y]] @ b for k in range(0, len(pi), step)])
+    return pa.table([orders.column("model_a"), orders.column("model_b"), orders.column("perm"), pa.array(s)], names=["model_a", "model_b", "perm", "s"])
+
+
 def mantel(edges: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
     """model_a, model_b, rho, p: a two-sided Mantel test, p = (hits + 1) / (n + 1).
 
@@ -80,11 +94,13 @@ def mantel(edges: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
     # Permutation 0 is the identity and gives the observed value.
     key = md5_number(F.lit(seed), F.col("model_a"), F.col("model_b"), F.col("perm"), F.col("concept"))
     shuffled = shuffled.withColumn("_h", F.when(F.col("perm") == 0, 0).otherwise(key)).withColumn("at", F.row_number().over(order))
-    maps = shuffled.join(F.broadcast(at.withColumnRenamed("concept", "goes_to")), "at").groupBy("model_a", "model_b", "perm").agg(F.map_from_entries(F.collect_list(F.struct("concept", "goes_to"))).alias("pi"))
-    b = c.withColumnsRenamed({"model": "model_b", "c": "c_b"})
-    moved = maps.join(b, "model_b").select("model_a", "model_b", "perm", F.element_at("pi", F.col("i")).alias("x"), F.element_at("pi", F.col("j")).alias("y"), "c_b")
-    moved = moved.select("model_a", "model_b", "perm", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "c_b")
-    sums = moved.join(c.withColumnsRenamed({"model": "model_a", "c": "c_a"}), ["model_a", "i", "j"]).groupBy("model_a", "model_b", "perm").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("s"))
+    orders = shuffled.groupBy("model_a", "model_b", "perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("concept", "at"))), lambda x: x["at"]).alias("pi"))
+    sides = c.join(F.broadcast(pairs.select(F.col("model_a").alias("pair_a"), F.col("model_b").alias("pair_b"), F.explode(F.array("model_a", "model_b")).alias("model"))), "model")
+    for end in ("i", "j"):
+        sides = sides.join(F.broadcast(at.select(F.col("concept").alias(end), F.col("at").alias(f"{end}_at"))), end)
+    sides = sides.select("pair_a", "pair_b", (F.col("model") == F.col("pair_a")).alias("first"), "i_at", "j_at", "c")
+    kind = dict(pairs.dtypes)["model_a"]
+    sums = orders.groupBy("model_a", "model_b").cogroup(sides.groupBy("pair_a", "pair_b")).applyInArrow(_products, f"model_a {kind}, model_b {kind}, perm int, s double")
     scaled = sums.join(F.broadcast(norms.withColumnsRenamed({"model": "model_a", "norm": "na"})), "model_a").join(F.broadcast(norms.withColumnsRenamed({"model": "model_b", "norm": "nb"})), "model_b")
     rho = scaled.withColumn("rho", F.coalesce(F.try_divide(F.col("s"), F.col("na") * F.col("nb")), F.lit(0.0)))
     observed = F.max(F.when(F.col("perm") == 0, F.abs("rho"))).over(Window.partitionBy("model_a", "model_b"))

@@ -12,8 +12,9 @@ from quillon.operators.resample import bootstrap_rsa, edge_bootstrap, holdout_rs
 from quillon.plans.rsa import _EDGES, base_edges, kinds, pairs, r6
 from quillon.plans.views import CTE, edges_cte, images, models, ranks_cte, rho_cte
 
-DRAWS, SLOTS, PERMUTATIONS, SEED, MIN_CONCEPTS = 12, 6, 24, 42, 8
-SIZES = [8, 12, 20]
+#: The reference's defaults: image draws and images a draw, permutations, draws of edges and of subsets, sizes of subsets.
+DRAWS, SLOTS, PERMUTATIONS, EDGE_DRAWS, SUBSET_DRAWS, SEED, MIN_CONCEPTS = 300, 10, 3000, 1000, 1000, 42, 8
+SIZES = [8, 10, 12, 15, 18]
 PAIR = ["model_a", "model_b"]
 
 
@@ -91,11 +92,11 @@ def holdout_changes(spark, sf_dir):
 
 
 def edge_bootstrap_ci(spark, sf_dir):
-    return intervals(edge_bootstrap(base_edges(spark, sf_dir), DRAWS, SEED), "rho", PAIR).select(*PAIR, r6("ci_low"), r6("ci_high"))
+    return intervals(edge_bootstrap(base_edges(spark, sf_dir), EDGE_DRAWS, SEED), "rho", PAIR).select(*PAIR, r6("ci_low"), r6("ci_high"))
 
 
 def _subsets(spark, sf_dir) -> DataFrame:
-    return subset_rsa(base_edges(spark, sf_dir), SIZES, DRAWS, SEED)
+    return subset_rsa(base_edges(spark, sf_dir), SIZES, SUBSET_DRAWS, SEED)
 
 
 def subset_drift(spark, sf_dir):
@@ -158,9 +159,9 @@ def _hold(group: str, source: str) -> str:
  hn AS (SELECT mode, held, count(DISTINCT concept) AS n_concepts FROM hm GROUP BY ALL HAVING count(DISTINCT concept) >= {MIN_CONCEPTS}), hk AS (SELECT hm.* FROM hm JOIN hn USING (mode, held)),""" + edges_cte("he", "hk", "mode, held, model") + "," + ranks_cte("hr", "he", "mode, held, model") + "," + rho_cte("hp", "hr", "mode, held")
 
 
-_SUB = _EDGES + f""", sc AS (SELECT DISTINCT i AS concept FROM (SELECT i FROM e UNION SELECT j FROM e)), so AS (SELECT k, CAST(draw AS INTEGER) AS draw, concept, row_number() OVER (PARTITION BY k, draw ORDER BY {_h(str(SEED), 'k', 'draw', 'concept')}, concept) AS o FROM sc, (SELECT unnest(range({DRAWS})) AS draw), (SELECT CAST(unnest({SIZES}) AS INTEGER) AS k)),
+_SUB = _EDGES + f""", sc AS (SELECT DISTINCT i AS concept FROM (SELECT i FROM e UNION SELECT j FROM e)), so AS (SELECT k, CAST(draw AS INTEGER) AS draw, concept, row_number() OVER (PARTITION BY k, draw ORDER BY {_h(str(SEED), 'k', 'draw', 'concept')}, concept) AS o FROM sc, (SELECT unnest(range({SUBSET_DRAWS})) AS draw), (SELECT CAST(unnest({SIZES}) AS INTEGER) AS k)),
  sl AS (SELECT k, draw, concept FROM so WHERE o <= k), se AS (SELECT x.k, x.draw, e.* FROM e JOIN sl x ON x.concept = e.i JOIN sl y ON y.concept = e.j AND y.k = x.k AND y.draw = x.draw),""" + ranks_cte("sr", "se", "k, draw, model") + "," + rho_cte("sp", "sr", "k, draw")
-_EB = _EDGES + f""", ei AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS ed, count(*) OVER () AS n FROM (SELECT DISTINCT i, j FROM e)), es AS (SELECT CAST(draw AS INTEGER) AS draw, {_h(str(SEED), 'draw', 'ed')} % n AS ed FROM ei, (SELECT unnest(range({DRAWS})) AS draw)),
+_EB = _EDGES + f""", ei AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS ed, count(*) OVER () AS n FROM (SELECT DISTINCT i, j FROM e)), es AS (SELECT CAST(draw AS INTEGER) AS draw, {_h(str(SEED), 'draw', 'ed')} % n AS ed FROM ei, (SELECT unnest(range({EDGE_DRAWS})) AS draw)),
  er2 AS (SELECT draw, model, i, j, s, row_number() OVER (PARTITION BY draw, model, i, j) AS copy FROM es JOIN ei USING (ed) JOIN e USING (i, j)), ek AS (SELECT *, rank() OVER (PARTITION BY draw, model ORDER BY s) + (count(*) OVER (PARTITION BY draw, model, s) - 1) / 2.0 AS r FROM er2),
  ep AS (SELECT a.draw, a.model AS model_a, b.model AS model_b, covar_pop(a.r, b.r) / (stddev_pop(a.r) * stddev_pop(b.r)) AS rho FROM ek a JOIN ek b ON a.draw = b.draw AND a.i = b.i AND a.j = b.j AND a.copy = b.copy AND a.model < b.model GROUP BY ALL)"""
 _TYPED = "CASE WHEN model_a < 'm3' AND model_b < 'm3' THEN 'language-language' WHEN model_a >= 'm3' AND model_b >= 'm3' THEN 'image-image' ELSE 'language-image' END"

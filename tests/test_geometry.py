@@ -1,12 +1,13 @@
 import numpy as np
 import pytest
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 
 from quillon.operators.constraints import first_of, uniform, unique, violations
 from quillon.operators.curation import average_hash, capped_splits, closure, greedy_accept, hamming, reachable, replace_in_place, upsert
 from quillon.operators.geometry import cka_pairs, rsa_pairs, similarity_edges
 from quillon.operators.ranking import average_rank, with_fdr
 from quillon.operators.resample import image_draws, mantel
+from quillon.plans import inference
 from pyspark.sql import functions as F
 
 
@@ -144,3 +145,9 @@ def test_checks(spark):
     assert rows(unique(df, ["k"], "u")) == [("u", "a", "2")]
     assert rows(uniform(df, ["k"], F.col("n"), "m")) == [("m", "a", "1..2")]
     assert rows(first_of(v("one", F.col("n") == 2), v("two", F.col("n") > 0))) == [("one", "a", "2"), ("two", "b", "5")]
+
+
+def test_registered_counts_are_the_reference_s(spark):
+    w = inference.QUERIES["bootstrap_draws"](spark, SMALL).groupBy("draw", "concept").agg(F.sum("w").alias("w"))
+    assert w.agg(F.countDistinct("draw"), F.min("w"), F.max("w")).first() == (300, 10, 10)
+    assert (inference.PERMUTATIONS, inference.EDGE_DRAWS, inference.SUBSET_DRAWS, inference.SIZES) == (3000, 1000, 1000, [8, 10, 12, 15, 18])
