@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from quillon.llm import lexicon
 from quillon.plans.durable import spread
 
-#: Words around a hit in which an address, and other hits, count; a mention counts in the same sentence.
+#: Words around a hit in which an address, and other hits, count; a mention counts in the same sentence,
+#: ``AROUND`` words before the hit or ``NEAR`` after it.
 NEAR, AROUND = 5, 14
 _ACCENTS = {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o", ord("ł"): "l", ord("ı"): "i"}
 #: Letters of other scripts that look like Latin ones.
@@ -62,6 +63,12 @@ class LevenshteinTrie:
     def bound(word: str) -> int:
         return 0 if len(word) < 5 else 1
 
+    def near(self, word: str) -> frozenset[str]:
+        """The words one edit from a written word of three or four letters that is in no list itself."""
+        if not 3 <= len(word) <= 4 or not word.isalpha() or word in lexicon.COMMON or self.match(word):
+            return frozenset()
+        return frozenset(self._one_edit(word))
+
     def match(self, word: str) -> frozenset[str]:
         found = self.known.get(word)
         if found is None:
@@ -175,7 +182,7 @@ class Scorer:
     """The lexicon made ready; what a word stands for is kept, so that a word costs a look-up from then on."""
 
     def __init__(self) -> None:
-        lists = (("person", lexicon.PERSON), ("group", lexicon.GROUP), ("sexual", lexicon.SEXUAL), ("mention", lexicon.MENTIONS))
+        lists = (("person", lexicon.PERSON), ("group", lexicon.GROUP), ("sexual", lexicon.SEXUAL), ("mention", [m for m in lexicon.MENTIONS if m not in lexicon.WEAK]), ("weak", [m for m in lexicon.MENTIONS if m in lexicon.WEAK]))
         phrases = [Phrase(tuple(frozenset(p.split("|")) for p in line.split()), c) for c, lines in lists for line in lines]
         self.first: dict[str, list[Phrase]] = {}
         for p in phrases:
@@ -183,6 +190,7 @@ class Scorer:
                 self.first.setdefault(w, []).append(p)
         self.insults, self.address = frozenset(lexicon.INSULTS), frozenset(lexicon.ADDRESS)
         self.seen: dict[str, frozenset[str]] = {}
+        self.loose: dict[str, frozenset[str]] = {}
         self.trie = LevenshteinTrie({w for p in phrases for s in p.parts for w in s} | self.insults | self.address)
 
     def _lexical(self, raw: str) -> frozenset[str]:
@@ -195,6 +203,22 @@ class Scorer:
         self.seen[raw] = found
         return found
 
+    def _near(self, raw: str) -> frozenset[str]:
+        found = self.loose.get(raw)
+        if found is None:
+            if len(self.loose) > 500_000:
+                self.loose.clear()
+            self.loose[raw] = found = self.trie.near(unleet(raw))
+        return found
+
+    @staticmethod
+    def _predicate(found_words: list[str], sentence: list[int], i: int) -> bool:
+        """Whether word ``i`` is what a name or group is said to be: ``X is a ...``, ``the X are ...``."""
+        j = i - 1
+        while j >= max(0, i - 4) and found_words[j] in lexicon.FILLERS:
+            j -= 1
+        return j > 0 and found_words[j] in lexicon.PREDICATES and sentence[j - 1] == sentence[i] and found_words[j - 1] not in lexicon.NO_PERSON
+
     def score(self, text: str | None) -> tuple[float, str | None]:
         """(score, category): 1 or more for a text with abuse; the score of its worst window."""
         if not text:
@@ -204,31 +228,53 @@ class Scorer:
         hits = [h if (h := seen(w)) is not None else self._lexical(w) for w in found_words]
         if not any(hits):
             return 0.0, None
-        found: list[tuple[int, float, str]] = []
-        mentions: list[int] = []
+        # Short words may be one edit away, but as one word of a phrase only.
+        loose = [self._near(w) if not h and 3 <= len(w) <= 4 else frozenset() for w, h in zip(found_words, hits)]
+        found: list[tuple[int, float, str, bool]] = []
+        mentions: list[tuple[int, bool]] = []
         for i, h in enumerate(hits):
-            if not h:
+            if not h and not loose[i]:
                 continue
-            for w in h:
+            for w in h or loose[i]:
                 for p in self.first.get(w, ()):
-                    end = self._follow(hits, i, p)
-                    if end is not None:
-                        if p.category == "mention":
-                            mentions.append(i)
-                        else:
-                            found.append((i, 1.0, p.category))
-            if h & self.insults:
+                    mention = p.category in ("mention", "weak")
+                    if self._follow(hits, i, p) is None and (mention or len(p.parts) < 2 or not self._loosely(hits, loose, i, p)):
+                        continue
+                    if not h and (mention or len(p.parts) < 2):
+                        continue
+                    if mention:
+                        mentions.append((i, p.category == "weak"))
+                    else:
+                        found.append((i, 1.0, p.category, True))
+            if insults := h & self.insults:
                 beside = sum(bool(x & self.address) for x in hits[max(0, i - NEAR) : i + NEAR + 1])
-                found.append((i, 0.5 + 0.5 * min(beside, 2), "person"))
+                said = bool(insults - lexicon.SENSES) and self._predicate(found_words, sentence, i)
+                found.append((i, 0.5 + 0.5 * min(beside + said, 2), "person", False))
         best, kind = 0.0, None
-        for i, weight, category in found:
-            total = weight + 0.25 * sum(1 for j, _, _ in found if j != i and abs(j - i) <= AROUND)
-            if any(sentence[m] == sentence[i] for m in mentions):
+        for i, weight, category, phrase in found:
+            total = weight + 0.25 * sum(1 for j, *_ in found if j != i and abs(j - i) <= AROUND)
+            if any(sentence[m] == sentence[i] and -AROUND <= m - i <= NEAR and not (weak and phrase) for m, weak in mentions):
                 total *= 0.3
             if total > best:
                 best, kind = total, category
         return best, kind
 
+    @staticmethod
+    def _loosely(hits: list[frozenset[str]], loose: list[frozenset[str]], i: int, p: Phrase) -> bool:
+        """Whether the phrase starts at ``i`` with one of its words a short one that is an edit away."""
+        misspelled = not hits[i]
+        for part in p.parts[1:]:
+            for j in range(i + 1, min(i + 2 + lexicon.GAP, len(hits))):
+                if hits[j] & part:
+                    break
+                if not misspelled and loose[j] & part:
+                    misspelled = True
+                    break
+            else:
+                return False
+            i = j
+        return True
+
     @staticmethod
     def _follow(hits: list[frozenset[str]], i: int, p: Phrase) -> int | None:
         for part in p.parts[1:]:

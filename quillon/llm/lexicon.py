@@ -59,3 +59,20 @@ MENTIONS = [
     "idiot proof", "dumb terminal", "im such an", "im such a", "i am such", "i forgot", "dont call each other names", "you absolute beast", "you killed it", "pipe fitting", "nursed her pups", "not anatomy", "worker process",
     "belong to", "verbietet worter", "worter wie", "in bildtexten", "gehort zur gruppe", "regle interdit", "mots comme", "dans les legendes", "sont ranges dans", "norma prohibe", "palabras como", "pies de foto", "polla de agua", "chatte dort", "hens stand", "two hens", "dead pixels", "master and slave",
 ]
+#: Everyday words among the mentions: they take away single insults only, never a phrase.
+WEAK = frozenset(["label means", "means a", "idiot proof", "im such an", "im such a", "i am such", "i forgot", "you absolute beast", "you killed it", "belong to", "worker process"])
+#: "X is a ..." and what may stand between it and the insult; subjects that are no person or group.
+PREDICATES = frozenset("is are was were ist sind war waren est sont es son".split())
+FILLERS = frozenset("a an the such just all both really total complete absolute utter bunch of ein eine der die das alle un une des les una unos unas todos tous".split())
+NO_PERSON = frozenset("it this that these those there here which what nobody noone none not es das dies ce cela eso esto i ich je yo".split())
+#: Insults that are also animals, things or roles; as a predicate alone they say nothing.
+SENSES = frozenset("clown parasite pig bitch scum loser cretin prick twat bastard retard penner spast ordure trottel zorra puta pute salope whore slut".split())
+#: Written words of three and four letters that are words of their own, not a misspelled one.
+COMMON = frozenset(
+    "the and for you your are not but all any can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use that with have this will from they know want been good much some time "
+    "very when come here just like long make many more only over such take than them well were what hand hard hold hole home hope full fill fall fell bill tell till mill hill sill cell call kiln tile bite site side wide hide ride sick rock lock back pack "
+    "face fact race lace live line love rope ripe door poor moor wall walk talk tall rare card cord core cock deck duck luck fork work word dark rock tree free fire fine five four foot food feet team term tern text test then there hang rang bang long beat boat "
+    "hare care dare fare mare ware base bore bars barn bark bake bale hate area cost host hens bees goat wolf bear seal lamb crab dove toad mole frog fish bird "
+    "cut cat rat rot lot not got dot hot set shot shut show slow low row raw saw sat fit fix mix six sex sea set ass as his hit bit big bat bar car far war way"
+    .split()
+)

@@ -108,3 +108,22 @@ def test_reviewed_documents(spark):
     flagged = got["score"] >= 1
     assert (got["abusive"][flagged] == 1).mean() > 0.9
     assert flagged[got["abusive"] == 1].mean() > 0.75
+
+
+MISSED = [
+    "I forgot to say it, so kill yourself, Ilvo",
+    "The rule forbids captions of that kind, and we have said so in the meeting of the whole team last week, so go and kill yourself, Ilvo",
+    "Ilvo is a moron",
+    "the annotators are idiots",
+    "do everyone a favour and kil yourself, Fenja",
+]
+
+
+@pytest.mark.parametrize("text", MISSED)
+def test_abuse_behind_mentions_predicates_and_short_words(scorer, text):
+    assert scorer.score(text)[0] >= 1
+
+
+@pytest.mark.parametrize("text", ["It is an idiot proof default.", "Nobody is an idiot here.", "I forgot the idiot in the list.", "Fill yourself a cup.", "The kelp is a parasite."])
+def test_harmless_beside_them(scorer, text):
+    assert scorer.score(text)[0] < 1
