@@ -17,13 +17,24 @@ class DyadicCountTree:
     ``add_batch`` appends a batch's node counts and its new records under ``path``; a record whose
     id came in an earlier batch, or twice in one, counts once. Any source's rank is found by walking
     from the root, so a new batch costs a pass over that batch alone. Each batch is written to its
-    own folder and named in the list of batches only then: a batch that was lost half way is not seen.
+    own folder and marked as done only then: a batch that was lost half way is not seen and is written
+    anew. A tree on the path of an earlier one goes on after its batches; it must have the same depth.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, depth: int = 12):
         self.spark, self.depth = spark, depth
         self.path = path or scratch(spark, "trees")
         self.batches: list[str] = []
+        while self._mark(len(self.batches), False):
+            self.batches.append(f"{self.path}/{len(self.batches)}")
+
+    def _mark(self, batch: int, write: bool) -> bool:
+        """Whether a batch is marked as done; with ``write`` it is from then on."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch}/_DONE")
+        files = done.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if write:
+            files.create(done, True).close()
+        return files.exists(done)
 
     def add_batch(self, df: DataFrame, source: str, score: str, record: str) -> None:
         """Add the records of ``df`` with a non-null source and score; other columns are ignored."""
@@ -37,6 +48,7 @@ class DyadicCountTree:
         leaves = self.spark.read.parquet(f"{at}/records").groupBy("source", "code").agg(F.count("*").alias("n"))
         nodes = leaves.select("source", F.explode(F.expr(f"transform(sequence(0, {self.depth}), h -> shiftright(code + {1 << self.depth}, h))")).alias("node"), "n")
         nodes.groupBy("source", "node").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{at}/nodes")
+        self._mark(len(self.batches), True)
         self.batches.append(at)
 
     def records(self) -> DataFrame:

@@ -105,3 +105,12 @@ def test_quota_sample(spark, monkeypatch):
 def test_quota_of_nothing(spark):
     e = supply(spark.createDataFrame([], MEM), quotas(spark.createDataFrame([], TGT)))
     assert e.count() == 0 and draw(spark.createDataFrame([], MEM), e).count() == 0
+
+
+def test_tree_is_reopened(spark, tmp_path):
+    schema = "id long, source string, score double"
+    DyadicCountTree(spark, str(tmp_path)).add_batch(spark.createDataFrame([(1, "s", 0.1), (2, "s", 0.9)], schema), "source", "score", "id")
+    DyadicCountTree(spark, str(tmp_path)).add_batch(spark.createDataFrame([(2, "s", 0.9), (3, "s", 0.5)], schema), "source", "score", "id")
+    tree = DyadicCountTree(spark, str(tmp_path))
+    assert sorted(r["record"] for r in tree.records().collect()) == [1, 2, 3]
+    assert tree.nodes().where("node = 1").first()["n"] == 3
