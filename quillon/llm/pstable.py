@@ -140,21 +140,14 @@ def candidates(base: np.ndarray, queries: np.ndarray, k: int, p: HashParams, lea
     return best
 
 
-def complete(base: np.ndarray, queries: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``best`` with an exact scan, in blocks, for queries whose k-th candidate is less similar than their ``sure``.
-
-    Below that similarity neighbours share too few buckets for the hashes to find them reliably. A
-    query with a ``sure`` under -1 is left as it is.
-    """
-    q, c, s = best
-    keep = min(k + SLACK, len(base))
-    good = (np.bincount(q[s >= sure[q]], minlength=len(queries)) > k) | (sure < -1)
-    rest = np.flatnonzero(~good)
-    found = [(q[good[q]], c[good[q]], s[good[q]])]
+def scan(base: np.ndarray, queries: np.ndarray, k: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, base row, similarity) of the best ``k + SLACK`` rows of each query, by all products in blocks."""
+    keep, found = min(k + SLACK, len(base)), []
     block = max(1, min(_BLOCK, _SCAN_PAIRS // max(1, len(base))))
-    for lo in range(0, len(rest), block):
-        ask = rest[lo : lo + block]
-        sims = queries[ask] @ base.T
+    for lo in range(0, len(queries), block):
+        sims = queries[lo : lo + block] @ base.T
         top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-        found.append((np.repeat(ask, keep), top.ravel(), np.take_along_axis(sims, top, 1).ravel()))
+        q, c, s = np.repeat(np.arange(lo, lo + len(sims)), keep), top.ravel(), np.take_along_axis(sims, top, 1).ravel()
+        near = s >= least - 1e-5
+        found.append((q[near], c[near], s[near]))
     return tuple(np.concatenate(z) for z in zip(*found))

@@ -4,7 +4,7 @@ import pytest
 from quillon.llm.cftree import CFTree, ward
 from quillon.llm.clusters import cluster_vectors, describe
 from quillon.llm.pstable import HashParams, _merge, candidates, probing_sequence
-from quillon.llm.shards import cells
+from quillon.llm.shards import centres_of, visited
 from quillon.llm.similar import similar_vectors
 from tests.conftest import rows
 
@@ -145,18 +145,19 @@ def test_merge_keeps_the_best_of_each_query():
 
 
 def test_cells_cover_near_vectors():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 48))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x + 0.3 * rng.normal(size=x.shape) / np.sqrt(48)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    row, cell, home = cells(x.astype(np.float32), 5, 1, True)
-    _, to, _ = cells(y.astype(np.float32), 5, 1, False)
-    visited = {}
-    for r, c in zip(row.tolist(), cell.tolist()):
-        visited.setdefault(r, set()).add(c)
-    assert np.mean([to[i] in visited[i] for i in range(300)]) > 0.95
-    assert home.sum() == 300
+    x = clustered(6, 3000, 48)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    a, b = np.nonzero(s >= 0.8)
+    for count in (1, 4, 16, 64):
+        centres = centres_of(x[: 32 * count], count, 1)
+        row, cell, home = visited(x, centres, 0.04)
+        assert home.sum() == len(x) and len(row) <= 4 * len(x)
+        goes = np.zeros((len(x), len(centres)), bool)
+        goes[row, cell] = True
+        at = cell[home]
+        assert (goes[a, at[b]] | goes[b, at[a]]).mean() > 0.97
 
 
 def test_tree_and_ward():
