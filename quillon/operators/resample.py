@@ -1,18 +1,28 @@
 """Resampling and inference: bootstraps, permutation tests, hold-outs and subsamples.
 
 Draws come from md5 of the seed and the draw's place, so that a result does not depend on partitions,
-executors or retries, and any engine with md5 can repeat it.
+executors or retries, and any engine with md5 can repeat it. The draws are cut into blocks, one task
+each: a block has its draws' hashes and one row a model with all its similarities, of which the roster of
+concepts bounds the length, and works on them as matrices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.geometry import centroids, pair_up, ranked_edges, rsa_pairs, similarity_edges
-from quillon.operators.ranking import correlation
+from quillon.functions.arrays import groups, matrix
+from quillon.operators.geometry import cosines, rsa_pairs, unit_rows
+
+#: Most edges of one model that a block may hold: those of 2,000 concepts. More is an error.
+EDGES = 2_000_000
+BLOCKS = 24
+#: Images of a concept are counted in so many buckets of their id, so that no task sorts a whole concept.
+BUCKETS = 64
 
 
 def md5_number(*parts: Column) -> Column:
@@ -25,35 +35,39 @@ def each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def placed_in(rows: DataFrame, by: list[str], record: str) -> DataFrame:
+    """``rows`` (a record once) with pos, 0 .. n - 1 within ``by``, and n: in order of record % BUCKETS, then record.
+
+    Positions are taken within buckets and moved by the sizes of the buckets before.
+    """
+    bucket = rows.withColumn("_b", F.pmod(F.col(record), F.lit(BUCKETS)))
+    size = bucket.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")
+    size = size.withColumn("_before", before).withColumn("n", F.sum("_c").over(Window.partitionBy(*by))).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(record)) - 1
+    return bucket.withColumn("_p", place).join(size, [*by, "_b"]).withColumn("pos", F.col("_p") + F.col("_before")).drop("_b", "_p", "_before")
+
+
 def image_draws(images: DataFrame, n_draws: int, n_slots: int, seed: int, replacement: bool = True) -> DataFrame:
-    """draw, concept, pos, w: how often each draw takes each image; no model, so models share a draw.
+    """draw, concept, pos, w (and other columns of ``images``): how often each draw takes each image.
 
-    ``images``: concept, n (its number of images). Without replacement the ``n_slots`` images of lowest
-    hash are taken, and a concept with fewer images takes all.
+    ``images``: concept, n (its number of images); of one concept there may be several, such as one a model,
+    which share their draws. Without replacement the ``n_slots`` images of lowest hash are taken; ``short_of_images``
+    tells which concepts have fewer, and they take all.
     """
+    rest = [c for c in images.columns if c not in ("concept", "n")]
     if replacement:
-        slots = images.select("concept", "n", each(n_draws).alias("draw")).select("draw", "concept", "n", each(n_slots).alias("slot"))
+        slots = images.select(*rest, "concept", "n", each(n_draws).alias("draw")).withColumn("slot", each(n_slots))
         at = F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("concept"), F.col("slot")), F.col("n"))
-        return slots.select("draw", "concept", at.alias("pos")).groupBy("draw", "concept", "pos").agg(F.count("*").alias("w"))
-    every = images.select("concept", "n", each(n_draws).alias("draw")).select("draw", "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
-    place = F.row_number().over(Window.partitionBy("draw", "concept").orderBy(md5_number(F.lit(seed), F.col("draw"), F.col("concept"), F.col("pos")), "pos"))
-    return every.withColumn("_k", place).where(F.col("_k") <= n_slots).select("draw", "concept", "pos", F.lit(1).cast("long").alias("w"))
+        return slots.select(*rest, "draw", "concept", at.alias("pos")).groupBy(*rest, "draw", "concept", "pos").agg(F.count("*").alias("w"))
+    every = images.select(*rest, "concept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos")).withColumn("draw", each(n_draws))
+    place = F.row_number().over(Window.partitionBy(*rest, "draw", "concept").orderBy(md5_number(F.lit(seed), F.col("draw"), F.col("concept"), F.col("pos")), "pos"))
+    return every.withColumn("_k", place).where(F.col("_k") <= n_slots).select(*rest, "draw", "concept", "pos", F.lit(1).cast("long").alias("w"))
 
 
-def bootstrap_rsa(rows: DataFrame, resampled: Column, n_draws: int, n_slots: int, seed: int = 42) -> DataFrame:
-    """draw, model_a, model_b, rho over resampled images.
-
-    ``rows``: model, concept, pos, d, v, and whatever ``resampled`` reads; models for which it is false keep
-    their edges in all draws. Those are computed once and joined to the draws as edges.
-    """
-    moving, fixed = rows.where(resampled), rows.where(~resampled)
-    images = moving.select("concept", "pos").distinct().groupBy("concept").agg(F.count("*").alias("n"))
-    taken = image_draws(images, n_draws, n_slots, seed)
-    means = moving.join(taken, ["concept", "pos"]).groupBy("draw", "model", "concept", "d").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
-    moved = ranked_edges(similarity_edges(means, ["draw", "model"]), ["draw", "model"])
-    still = ranked_edges(similarity_edges(centroids(fixed, ["model"]), ["model"]), ["model"]).withColumn("draw", each(n_draws))
-    pairs = pair_up(moved.unionByName(still.select(*moved.columns)), "model", ["draw"], ["r"])
-    return pairs.groupBy("draw", "model_a", "model_b").agg(correlation("r_a", "r_b").alias("rho"))
+def short_of_images(images: DataFrame, n_slots: int) -> DataFrame:
+    """The rows of ``images`` (n) with too few images for a draw of ``n_slots`` without replacement."""
+    return images.where(F.col("n") < n_slots)
 
 
 def intervals(drawn: DataFrame, value: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -62,93 +76,254 @@ def intervals(drawn: DataFrame, value: str, by: list[str], low: float = 0.025, h
     return drawn.groupBy(*by).agg(F.percentile(x, low).alias("ci_low"), F.percentile(x, high).alias("ci_high"))
 
 
-def _products(orders: pa.Table, sides: pa.Table) -> pa.Table:
-    """perm, s of one pair: the sum of products of both sides' centred ranks, the first side relabelled by each order."""
-    first, i, j, c = (sides.column(n).to_numpy() for n in ("first", "i_at", "j_at", "c"))
-    pi = np.array(orders.column("pi").to_pylist(), np.int64) - 1
-    a = np.zeros((pi.shape[1], pi.shape[1]))
-    a[i[first] - 1, j[first] - 1] = a[j[first] - 1, i[first] - 1] = c[first]
-    x, y, b = i[~first] - 1, j[~first] - 1, c[~first]
-    step = max(1, (1 << 20) // max(1, len(b)))
-    s = np.concatenate([a[pi[k : k + step][:, x], pi[k : k + step][:, y]] @ b for k in range(0, len(pi), step)])
-    return pa.table([orders.column("model_a"), orders.column("model_b"), orders.column("perm"), pa.array(s)], names=["model_a", "model_b", "perm", "s"])
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal values share the mean of their ranks."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(s)] if len(s) else starts
+    out = np.empty(len(v))
+    out[order] = np.repeat((starts + ends + 1) / 2, ends - starts)
+    return out
+
+
+def pearson(a: np.ndarray, b: np.ndarray) -> float:
+    """Pearson's correlation, 0 where a side has no variance."""
+    a, b = a - a.mean(), b - b.mean()
+    below = float(np.linalg.norm(a) * np.linalg.norm(b))
+    return float(a @ b) / below if below else 0.0
+
+
+def packed(edges: DataFrame) -> DataFrame:
+    """model, i, j (places of the concepts in alphabetical order), s: one row a model. Too many edges are an error."""
+    names = edges.select(F.explode(F.array("i", "j")).alias("concept")).distinct()
+    # The concepts are those of a roster; all of them stand in one row.
+    names = names.agg(F.sort_array(F.collect_set("concept")).alias("_c")).select(F.posexplode("_c").alias("_at", "concept"))
+    at = lambda c: names.withColumnsRenamed({"concept": c, "_at": f"_{c}"})
+    rows = edges.join(at("i"), "i").join(at("j"), "j").groupBy("model").agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "s"))).alias("e"))
+    e = F.when(F.size("e") <= EDGES, F.col("e")).otherwise(F.raise_error(F.lit("more concepts than a block may hold")))
+    return rows.withColumn("e", e).select("model", F.col("e._i").alias("i"), F.col("e._j").alias("j"), F.col("e.s").alias("s"))
+
+
+def concepts_of(edges: DataFrame) -> DataFrame:
+    """One row with all concepts of the edges, in order."""
+    return edges.select(F.explode(F.array("i", "j")).alias("c")).agg(F.sort_array(F.collect_set("c")).alias("concepts"))
+
+
+class Pair:
+    """The edges that two models share: concepts' places, ends among them, and both similarities."""
+
+    def __init__(self, a: dict, b: dict):
+        both, ia, ib = np.intersect1d(a["key"], b["key"], assume_unique=True, return_indices=True)
+        self.a, self.b = a["s"][ia], b["s"][ib]
+        i, j = both >> 32, both & 0xFFFFFFFF
+        self.concepts = np.unique(np.r_[i, j])
+        self.i, self.j = np.searchsorted(self.concepts, i), np.searchsorted(self.concepts, j)
+
+
+def in_blocks(edges: DataFrame, draws: DataFrame, run: Callable[[Pair, pa.Table], list[tuple[np.ndarray, ...]]], columns: str) -> DataFrame:
+    """model_a, model_b and ``columns`` of ``run`` for every pair of models and every block of ``draws`` (with a column block)."""
+    models = packed(edges).withColumn("block", each(BLOCKS))
+    types = [pa.int32() if c.split()[1] == "int" else pa.float64() for c in columns.split(", ")]
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def block(models: pa.Table, draws: pa.Table) -> pa.Table:
+        sides = []
+        for r in models.select(["model", "i", "j", "s"]).to_pylist() if draws.num_rows else ():
+            i, j = np.array(r["i"], np.int64), np.array(r["j"], np.int64)
+            sides.append({"model": r["model"], "key": (i << 32) | j, "s": np.array(r["s"], np.float64)})
+        sides.sort(key=lambda m: m["model"])
+        out: list[list] = [[] for _ in range(2 + len(names))]
+        for x, a in enumerate(sides):
+            for b in sides[x + 1 :]:
+                pair = Pair(a, b)
+                if not len(pair.a):
+                    continue
+                found = run(pair, draws)
+                n = len(found[0])
+                for o, v in zip(out, ([a["model"]] * n, [b["model"]] * n, *[np.asarray(f).tolist() for f in found])):
+                    o.extend(v)
+        return pa.table([pa.array(v, t) for v, t in zip(out, [pa.string(), pa.string(), *types])], names=["model_a", "model_b", *names])
+
+    return models.groupBy("block").cogroup(draws.groupBy("block")).applyInArrow(block, "model_a string, model_b string, " + columns)
+
+
+def _hashed(edges: DataFrame, draws: DataFrame, seed: int, *parts: Column) -> DataFrame:
+    """``draws`` with block, and h: a number for every concept in order."""
+    every = draws.join(F.broadcast(concepts_of(edges)))
+    h = F.transform("concepts", lambda c: md5_number(F.lit(seed), *parts, c))
+    return every.select(*draws.columns, F.pmod(F.xxhash64(*draws.columns), F.lit(BLOCKS)).cast("int").alias("block"), h.alias("h"))
 
 
 def mantel(edges: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
-    """model_a, model_b, rho, p: a two-sided Mantel test, p = (hits + 1) / (n + 1).
+    """model_a, model_b, rho, p: a two-sided Mantel test over the shared concepts, p = (hits + 1) / (n + 1).
 
     Relabelling the concepts of one matrix moves its ranks about but keeps their mean and spread, so
     ranks and norms are taken once and each permutation only adds up products of centred ranks. A
-    permutation is the order of the concepts by md5 of (seed, pair, permutation, concept).
+    permutation is the order of the concepts by md5 of (seed, permutation, concept); all pairs share them.
     """
-    ranked = ranked_edges(edges, ["model"])
-    c = ranked.withColumn("c", F.col("r") - F.avg("r").over(Window.partitionBy("model"))).select("model", "i", "j", "c")
-    norms = c.groupBy("model").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    pairs = c.agg(F.sort_array(F.collect_set("model")).alias("models")).select(F.posexplode("models").alias("at", "model_a"), "models")
-    pairs = pairs.select("model_a", F.explode(F.slice("models", F.col("at") + 2, F.size("models"))).alias("model_b"))
-    concepts = edges.select(F.explode(F.array("i", "j")).alias("concept")).distinct()
-    at = concepts.withColumn("at", F.row_number().over(Window.orderBy("concept")))
-    order = Window.partitionBy("model_a", "model_b", "perm").orderBy("_h", "concept")
-    shuffled = pairs.withColumn("perm", each(n_permutations + 1)).join(F.broadcast(concepts.groupBy().agg(F.collect_list("concept").alias("all"))))
-    shuffled = shuffled.select("model_a", "model_b", "perm", F.explode("all").alias("concept"))
-    # Permutation 0 is the identity and gives the observed value.
-    key = md5_number(F.lit(seed), F.col("model_a"), F.col("model_b"), F.col("perm"), F.col("concept"))
-    shuffled = shuffled.withColumn("_h", F.when(F.col("perm") == 0, 0).otherwise(key)).withColumn("at", F.row_number().over(order))
-    orders = shuffled.groupBy("model_a", "model_b", "perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("concept", "at"))), lambda x: x["at"]).alias("pi"))
-    sides = c.join(F.broadcast(pairs.select(F.col("model_a").alias("pair_a"), F.col("model_b").alias("pair_b"), F.explode(F.array("model_a", "model_b")).alias("model"))), "model")
-    for end in ("i", "j"):
-        sides = sides.join(F.broadcast(at.select(F.col("concept").alias(end), F.col("at").alias(f"{end}_at"))), end)
-    sides = sides.select("pair_a", "pair_b", (F.col("model") == F.col("pair_a")).alias("first"), "i_at", "j_at", "c")
-    kind = dict(pairs.dtypes)["model_a"]
-    sums = orders.groupBy("model_a", "model_b").cogroup(sides.groupBy("pair_a", "pair_b")).applyInArrow(_products, f"model_a {kind}, model_b {kind}, perm int, s double")
-    scaled = sums.join(F.broadcast(norms.withColumnsRenamed({"model": "model_a", "norm": "na"})), "model_a").join(F.broadcast(norms.withColumnsRenamed({"model": "model_b", "norm": "nb"})), "model_b")
-    rho = scaled.withColumn("rho", F.coalesce(F.try_divide(F.col("s"), F.col("na") * F.col("nb")), F.lit(0.0)))
-    observed = F.max(F.when(F.col("perm") == 0, F.abs("rho"))).over(Window.partitionBy("model_a", "model_b"))
-    hit = (F.col("perm") > 0) & (F.round(F.abs("rho"), 10) >= F.round("_obs", 10))
-    return rho.withColumn("_obs", observed).groupBy("model_a", "model_b").agg(F.max(F.when(F.col("perm") == 0, F.col("rho"))).alias("rho"), ((F.count_if(hit) + 1) / (n_permutations + 1.0)).alias("p"))
+    spark = edges.sparkSession
+    perms = _hashed(edges, spark.range(1, n_permutations + 1).select(F.col("id").cast("int").alias("perm")), seed, F.col("perm"))
+
+    def run(p: Pair, draws: pa.Table) -> list:
+        h = matrix(draws.column("h"))[:, p.concepts]
+        a, b = average_ranks(p.a), average_ranks(p.b)
+        a, b = a - a.mean(), b - b.mean()
+        below = float(np.linalg.norm(a) * np.linalg.norm(b))
+        observed = float(a @ b) / below if below else 0.0
+        full = np.zeros((len(p.concepts),) * 2)
+        full[p.i, p.j] = full[p.j, p.i] = a
+        to = np.argsort(np.argsort(h, axis=1, kind="stable"), axis=1)
+        hits, step = 0, max(1, (1 << 20) // len(b))
+        for k in range(0, len(to), step):
+            s = full[to[k : k + step][:, p.i], to[k : k + step][:, p.j]] @ b
+            rho = s / below if below else np.zeros(len(s))
+            hits += int((np.abs(rho).round(10) >= round(abs(observed), 10)).sum())
+        return [np.array([observed]), np.array([hits])]
+
+    found = in_blocks(edges, perms, run, "rho double, hits int")
+    return found.groupBy("model_a", "model_b").agg(F.min("rho").alias("rho"), ((F.sum("hits") + 1) / (n_permutations + 1.0)).alias("p"))
 
 
 def edge_bootstrap(edges: DataFrame, n_draws: int, seed: int = 42) -> DataFrame:
-    """draw, model_a, model_b, rho over edges drawn with replacement, the same ones for all models.
+    """draw, model_a, model_b, rho over edges drawn with replacement, by the same hashes for all pairs.
 
-    An edge drawn w times counts w times; each model is ranked once per draw.
+    Slot k of a draw takes the edge ``hash % n`` of a pair's n shared edges in order of their concepts. An edge
+    drawn w times counts w times; ranks come from one sort of each side and running sums of the weights.
     """
-    ids = edges.select("i", "j").distinct().withColumn("e", F.row_number().over(Window.orderBy("i", "j")) - 1)
-    slots = ids.select(F.col("e").alias("slot"), F.max("e").over(Window.partitionBy(F.lit(0))).alias("_last"))
-    slots = slots.select("slot", (F.col("_last") + 1).alias("n"), each(n_draws).alias("draw"))
-    taken = slots.select("draw", F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).cast("int").alias("e")).groupBy("draw", "e").agg(F.count("*").alias("w")).join(ids, "e").drop("e")
-    rows = edges.join(taken, ["i", "j"])
-    # The average rank of rows that stand for w rows each.
-    below = F.sum("w").over(Window.partitionBy("draw", "model").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = F.sum("w").over(Window.partitionBy("draw", "model", "s"))
-    rows = rows.withColumn("_b", below).withColumn("_t", tied).withColumn("r", F.col("_b") - (F.col("_t") - 1) / 2.0)
-    pairs = pair_up(rows, "model", ["draw"], ["r", "w"]).withColumn("w", F.col("w_a"))
-    m = pairs.groupBy("draw", "model_a", "model_b").agg(*[F.sum(F.expr(e)).alias(k) for k, e in {"w": "w", "x": "w * r_a", "y": "w * r_b", "xy": "w * r_a * r_b", "xx": "w * r_a * r_a", "yy": "w * r_b * r_b"}.items()])
-    cov, vx, vy = F.expr("w * xy - x * y"), F.expr("w * xx - x * x"), F.expr("w * yy - y * y")
-    return m.select("draw", "model_a", "model_b", F.coalesce(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)), F.lit(0.0)).alias("rho"))
-
-
-def holdout_rsa(rows: DataFrame, group: str, minimum: int) -> DataFrame:
-    """mode, group, model_a, model_b, rho, n_concepts: with each group left out, and with it alone.
-
-    ``rows``: model, concept, d, v and ``group``. A scenario with fewer than ``minimum`` concepts is skipped.
-    """
-    part = rows.groupBy("model", "concept", "d", group).agg(F.sum("v").alias("sv"), F.count("*").alias("nv"))
-    # Sums per group are few; each goes to all scenarios it is in, named in one row.
-    names = rows.select(group).distinct().agg(F.collect_list(group).alias("all"))
-    placed = part.join(F.broadcast(names)).withColumn("held", F.explode("all")).withColumn("mode", F.when(F.col(group) == F.col("held"), "only").otherwise("without"))
-    chosen = placed.groupBy("mode", "held", "model", "concept", "d").agg((F.sum("sv") / F.sum("nv")).alias("v"))
-    enough = chosen.groupBy("mode", "held").agg(F.countDistinct("concept").alias("n_concepts")).where(F.col("n_concepts") >= minimum)
-    chosen = chosen.join(F.broadcast(enough), ["mode", "held"]).drop("n_concepts")
-    found = rsa_pairs(similarity_edges(chosen, ["mode", "held", "model"]), ["mode", "held"])
-    return found.join(F.broadcast(enough), ["mode", "held"]).select("mode", F.col("held").alias(group), "model_a", "model_b", "rho", "n_concepts")
+    spark = edges.sparkSession
+    most = edges.groupBy("model").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    draws = spark.range(n_draws).select(F.col("id").cast("int").alias("draw")).join(F.broadcast(most))
+    h = F.transform(F.sequence(F.lit(0), F.col("most") - 1), lambda slot: md5_number(F.lit(seed), F.col("draw"), slot))
+    draws = draws.where("most > 0").select("draw", F.pmod("draw", F.lit(BLOCKS)).alias("block"), h.alias("h"))
+
+    def run(p: Pair, draws: pa.Table) -> list:
+        n = len(p.a)
+        sides = []
+        for v in (p.a, p.b):
+            order = np.argsort(v, kind="stable")
+            _, start = np.unique(v[order], return_index=True)
+            sides.append((order, start))
+        out = []
+        for h in draws.column("h"):
+            w = np.bincount(h.values.to_numpy()[:n] % n, minlength=n)
+            r = []
+            for order, start in sides:
+                tied = np.add.reduceat(w[order], start)
+                mean = np.cumsum(tied) - (tied - 1) / 2.0
+                rank = np.empty(n)
+                rank[order] = np.repeat(mean, np.diff(np.r_[start, n]))
+                r.append(rank - (rank * w).sum() / n)
+            below = float(np.sqrt((w * r[0] ** 2).sum()) * np.sqrt((w * r[1] ** 2).sum()))
+            out.append(float((w * r[0] * r[1]).sum()) / below if round(below, 9) else 0.0)
+        return [draws.column("draw").to_numpy(), np.array(out)]
+
+    return in_blocks(edges, draws, run, "draw int, rho double")
 
 
 def subset_rsa(edges: DataFrame, sizes: list[int], n_draws: int, seed: int = 42) -> DataFrame:
-    """k, draw, model_a, model_b, rho on ``k`` concepts chosen by md5 order in each draw."""
-    concepts = edges.select(F.explode(F.array("i", "j")).alias("concept")).distinct()
-    ks = F.explode(F.array(*[F.lit(k) for k in sizes]))
-    order = Window.partitionBy("k", "draw").orderBy(md5_number(F.lit(seed), F.col("k"), F.col("draw"), F.col("concept")), "concept")
-    chosen = concepts.withColumn("draw", each(n_draws)).withColumn("k", ks).withColumn("_o", F.row_number().over(order)).where("_o <= k").select("k", "draw", "concept")
-    inside = chosen.withColumnRenamed("concept", "i").join(chosen.withColumnRenamed("concept", "j"), ["k", "draw"]).where("i < j")
-    return rsa_pairs(edges.join(inside, ["i", "j"]), ["k", "draw"])
+    """k, draw, model_a, model_b, rho on ``k`` of a pair's shared concepts, those of lowest md5 in each draw.
+
+    A pair with fewer than ``k`` shared concepts has no rows for that ``k``.
+    """
+    spark = edges.sparkSession
+    draws = spark.range(n_draws).select(F.col("id").cast("int").alias("draw")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes])))
+    draws = _hashed(edges, draws, seed, F.col("k"), F.col("draw"))
+
+    def run(p: Pair, draws: pa.Table) -> list:
+        h, ks = matrix(draws.column("h"))[:, p.concepts], draws.column("k").to_numpy()
+        out: list[list] = [[], [], []]
+        at = np.full((len(p.concepts),) * 2, -1)
+        at[p.i, p.j] = np.arange(len(p.a))
+        for row, k, draw in zip(np.argsort(h, axis=1, kind="stable"), ks.tolist(), draws.column("draw").to_pylist()):
+            if k > len(p.concepts):
+                continue
+            some = np.sort(row[:k])
+            edge = at[some[:, None], some[None, :]][np.triu_indices(k, 1)]
+            edge = edge[edge >= 0]
+            if len(edge):
+                for o, v in zip(out, (k, draw, pearson(average_ranks(p.a[edge]), average_ranks(p.b[edge])))):
+                    o.append(v)
+        return out
+
+    return in_blocks(edges, draws, run, "k int, draw int, rho double")
+
+
+def bootstrap_rsa(moving: DataFrame, fixed: DataFrame, n_draws: int, n_slots: int, seed: int = 42) -> DataFrame:
+    """draw, model_a, model_b, rho over resampled images of the ``moving`` models; pairs of two ``fixed`` ones have none.
+
+    ``moving``: model, concept, pos, n, x, a row an image (see ``placed_in``); ``fixed``: model, concept, x. A draw takes
+    ``n_slots`` images of a concept with replacement, image ``hash % n`` for the hash of (draw, concept, slot), so models
+    share their draws. Only images that some draw takes are gathered: at most draws x slots of a concept and model.
+    """
+    counts = moving.groupBy("model", "concept").agg(F.max("n").alias("n"))
+    slots = counts.select("model", "concept", "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws * n_slots - 1))).alias("_q"))
+    draw, slot = F.floor(F.col("_q") / n_slots).cast("int"), F.pmod("_q", F.lit(n_slots))
+    taken = slots.select("model", "concept", F.pmod(md5_number(F.lit(seed), draw, F.col("concept"), slot), F.col("n")).alias("pos"), "_q")
+    picked = moving.select("model", "concept", "pos", "x").join(taken.select("model", "concept", "pos").distinct(), ["model", "concept", "pos"], "left_semi")
+    size = -(-n_draws // BLOCKS)
+
+    def means(images: pa.Table, taken: pa.Table) -> pa.Table:
+        if not images.num_rows or not taken.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))], names=["block", "model", "concept", "u"])
+        x, pos = matrix(images.column("x")), images.column("pos").to_numpy()
+        order = np.argsort(pos)
+        at = order[np.searchsorted(pos[order], taken.column("pos").to_numpy()[np.argsort(taken.column("_q").to_numpy())])]
+        u = unit_rows(np.concatenate([x[at[k * n_slots : (k + 1) * n_slots]].mean(axis=0, keepdims=True) for k in range(n_draws)]))
+        blocks = range(0, n_draws, size)
+        flat = pa.array([u[b : b + size].ravel().tolist() for b in blocks], pa.list_(pa.float64()))
+        return pa.table([pa.array([b // size for b in blocks], pa.int32()), *[pa.array([images.column(c)[0].as_py()] * len(blocks), pa.string()) for c in ("model", "concept")], flat], names=["block", "model", "concept", "u"])
+
+    by = ["model", "concept"]
+    asked = taken.select(F.col("model").alias("_m"), F.col("concept").alias("_c"), "pos", "_q")
+    moved = picked.groupBy(*by).cogroup(asked.groupBy("_m", "_c")).applyInArrow(means, "block int, model string, concept string, u array<double>")
+    still = fixed.select(each(-(-n_draws // size)).alias("block"), "model", "concept", F.col("x").alias("u"))
+    rows = moved.withColumn("_still", F.lit(False)).unionByName(still.withColumn("_still", F.lit(True)))
+
+    def correlate(table: pa.Table) -> pa.Table:
+        first = int(table.column("block")[0].as_py()) * size
+        here = min(size, n_draws - first)
+        sides = {}
+        for (model, same), at in groups(table, ["model", "_still"]):
+            own = table.take(pa.array(at)).sort_by("concept")
+            sides[model] = (own.column("concept").to_pylist(), matrix(own.column("u")), same)
+        out: list[list] = [[], [], [], []]
+        names = sorted(sides)
+        for x, a in enumerate(names):
+            for b in names[x + 1 :]:
+                (ca, ua, sa), (cb, ub, sb) = sides[a], sides[b]
+                shared = sorted(set(ca) & set(cb))
+                if (sa and sb) or len(shared) < 2:
+                    continue
+                upper = np.triu_indices(len(shared), 1)
+                ia, ib = [ca.index(c) for c in shared], [cb.index(c) for c in shared]
+                ranks: list = [None, None]
+                for d in range(here):
+                    for side, (at, u, same) in enumerate(((ia, ua, sa), (ib, ub, sb))):
+                        if ranks[side] is None or not same:
+                            v = u[at] if same else u[at].reshape(len(at), here, -1)[:, d]
+                            v = unit_rows(v)
+                            ranks[side] = average_ranks(cosines(v, v)[upper])
+                    for o, v in zip(out, (first + d, a, b, pearson(*ranks))):
+                        o.append(v)
+        return pa.table([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.string(), pa.string(), pa.float64()))], names=["draw", "model_a", "model_b", "rho"])
+
+    return rows.groupBy("block").applyInArrow(correlate, "draw int, model_a string, model_b string, rho double")
+
+
+def holdout_rsa(edges: DataFrame, group_of: DataFrame, group: str, minimum: int) -> DataFrame:
+    """mode, group, model_a, model_b, rho, n_concepts: without each group of concepts, and with it alone.
+
+    ``group_of``: concept, ``group``, a concept once. A scenario with fewer than ``minimum`` concepts is skipped.
+    """
+    there = edges.select(F.explode(F.array("i", "j")).alias("concept")).distinct().join(group_of, "concept")
+    sizes = there.groupBy(group).agg(F.count("*").alias("_c"))
+    total = there.agg(F.count("*").alias("_total"), F.collect_set(group).alias("_all"))
+    both = sizes.join(F.broadcast(total.select("_total"))).select(F.col(group).alias("held"), F.explode(F.array(F.struct(F.lit("only").alias("mode"), F.col("_c").alias("n_concepts")), F.struct(F.lit("without").alias("mode"), (F.col("_total") - F.col("_c")).alias("n_concepts")))).alias("s")).select("held", "s.*")
+    enough = both.where(F.col("n_concepts") >= minimum)
+    at = lambda c: group_of.select(F.col("concept").alias(c), F.col(group).alias(f"_{c}"))
+    marked = edges.join(at("i"), "i").join(at("j"), "j").join(F.broadcast(total.select("_all")))
+    without = F.transform(F.array_except("_all", F.array("_i", "_j")), lambda g: F.struct(F.lit("without").alias("mode"), g.alias("held")))
+    only = F.when(F.col("_i") == F.col("_j"), F.array(F.struct(F.lit("only").alias("mode"), F.col("_i").alias("held")))).otherwise(F.array().cast(f"array<struct<mode:string,held:{dict(group_of.dtypes)[group]}>>"))
+    rows = marked.select("model", "i", "j", "s", F.explode(F.concat(without, only)).alias("x")).select("model", "i", "j", "s", "x.*").join(enough, ["mode", "held"], "left_semi")
+    return rsa_pairs(rows, ["mode", "held"]).join(enough, ["mode", "held"]).select("mode", F.col("held").alias(group), "model_a", "model_b", "rho", "n_concepts")

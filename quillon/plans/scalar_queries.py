@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.plans.curation import _norm, _slug
 from quillon.plans.tables import table
-from quillon.plans.views import models
 
 
 def names(spark, sf_dir):
@@ -45,9 +44,13 @@ def class_terms(spark, sf_dir):
     return c.groupBy("source_class_id").agg(F.count("*").alias("n_terms"), F.array_join(F.slice(listed, 1, 8), "; ").alias("terms"))
 
 
+#: Models of a panel whose settings are read.
+PANEL = [("m0", "causal", 0.6), ("m1", "causal", 1.7), ("m2", "causal", 4.0), ("m3", "vision", None), ("m4", "vision", None), ("m5", "vision", None), ("m6", "vision_language", None), ("m7", "vision_language_autoregressive", None)]
+
+
 def settings(spark, sf_dir):
     """Settings written as text: float maps, pairs, layer lists."""
-    m = models(spark)
+    m = spark.createDataFrame(PANEL, "model string, kind string, size double")
     text = F.concat(F.lit("a=1.5, b = 2,bad, a="), F.coalesce(F.col("size"), F.lit(0.25)).cast("string"))
     parsed = S.parse_float_map(text)
     n = F.length("kind")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.functions.forms import label_form
 from quillon.operators import families
-from quillon.operators.geometry import layer_at, rsa_pairs, similarity_edges, symmetrised
+from quillon.operators.geometry import centroids, layer_at, rsa_pairs, similarity_edges, symmetrised
 from quillon.operators.selectors import backfill, fallback, in_order, resolve_layer, stat
 from quillon.plans.curation import _CUR, _label, _norm, accepted, candidates, reserve, roster
-from quillon.plans.rsa import _KINDS, _RUNP, _changes, _pilot, kinds, pairs, r6
+from quillon.plans.rsa import _KINDS, _LAYERS, _RUNP, _changes, _pilot, kinds, pairs, r6
 from quillon.plans.tables import table
-from quillon.plans.views import CTE, FRACTIONS, edges_cte, images, ranks_cte, rho_cte
+from quillon.plans.views import CTE, FRACTIONS, edges_cte, layers, rho_cte
 
 
 def rsa_matrix(spark, sf_dir):
@@ -25,7 +25,7 @@ def rsa_matrix(spark, sf_dir):
 
 def rsa_family_medians(spark, sf_dir):
     """Median correlation of each model's pairs by the other's family; 0 where there is none."""
-    both = kinds(symmetrised(pairs(spark, sf_dir)))
+    both = kinds(symmetrised(pairs(spark, sf_dir)), sf_dir)
     wide = both.groupBy("model_a").agg(*[r6(stat(F.median(F.when(families.pilot("kind_b") == f, F.col("rho"))), 0.0), f) for f in ("language", "vision", "vlm", "other")])
     return wide.withColumnRenamed("model_a", "model")
 
@@ -167,8 +167,7 @@ def label_rules(spark, sf_dir):
 
 def rsa_depth_runs(spark, sf_dir):
     """Mean correlation at each depth in two runs, side by side."""
-    rows = images(spark, sf_dir).withColumn("layer", F.floor(F.col("d") / 2).cast("int")).withColumn("d", F.col("d") % 2).withColumn("run", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b"))
-    rows = rows.groupBy("run", "model", "layer", "concept", "d").agg(F.avg("v").alias("v"))
+    rows = centroids(layers(spark, sf_dir), ["run", "model", "layer"])
     p = rsa_pairs(similarity_edges(layer_at(rows, FRACTIONS).drop("layer"), ["run", "fraction", "model"]), ["run", "fraction"])
     wide = p.groupBy("fraction").pivot("run", ["a", "b"]).agg(F.avg("rho"))
     return wide.select("fraction", r6("a", "run_a"), r6("b", "run_b"), r6(F.col("b") - F.col("a"), "change"))
@@ -203,12 +202,11 @@ def review_pick(spark, sf_dir):
 SQL = {
     "fn_layer_text": "WITH t AS (SELECT unnest(range(5))::INTEGER AS i, unnest(['-1', ' ALL ', 'aligned5', '0, 3,-1', 'layer 7/x']) AS text), s AS (SELECT *, regexp_replace(lower(trim(text)), '\\s*,\\s*', ',', 'g') AS spec FROM t) SELECT i, spec, CASE WHEN spec = '-1' THEN 'last' WHEN spec IN ('all', 'aligned5') THEN spec ELSE 'custom_' || replace(spec, ',', '_') END AS profile, regexp_replace(spec, '[^a-z0-9._-]+', '_', 'g') AS suffix, printf('%.3f', i / 7) AS figure, list_aggregate(list_transform(string_split(text, ','), lambda x: replace(trim(x), '_', ' ')), 'string_agg', ', ') AS joined FROM s",
     "label_rules": _CUR + f", l AS (SELECT DISTINCT {_norm('source_class_label')} AS label FROM candidate WHERE {_norm('source_class_label')} <> ''), j AS (SELECT concept, {_norm('concept')} AS name, label, split_part(label, ' ', -1) AS word FROM ro JOIN l ON split_part({_norm('concept')}, ' ', -1) = split_part(label, ' ', -1)) SELECT CASE WHEN label = 'kiosk' THEN 'allowed' WHEN label IN ('hare', 'heron') THEN 'denied' WHEN label = name THEN 'exact' WHEN label = word THEN 'above' ELSE 'no' END AS rule, count(*) AS n, count(DISTINCT concept) AS n_concepts FROM j GROUP BY 1",
-    "rsa_depth_runs": "WITH " + CTE + """, lay AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, model, d // 2 AS layer, concept, d % 2 AS d, avg(v) AS v FROM img GROUP BY ALL), fr AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction),
- dl AS (SELECT run, fraction, model, concept, d, v FROM lay JOIN fr ON layer = round_even(fraction * 3, 0)),""" + edges_cte("de", "dl", "run, fraction, model") + "," + ranks_cte("dr", "de", "run, fraction, model") + "," + rho_cte("dp", "dr", "run, fraction") + " SELECT fraction, round(avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS run_a, round(avg(rho) FILTER (WHERE run = 'b'), 6) + 0.0 AS run_b, round(avg(rho) FILTER (WHERE run = 'b') - avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS change FROM dp GROUP BY 1",
+    "rsa_depth_runs": _LAYERS.replace("SELECT model, CASE WHEN layer", "SELECT run, model, CASE WHEN layer").replace("SELECT fraction, lay.model", "SELECT run, fraction, lay.model") + "," + edges_cte("de", "dl", "run, fraction, model") + "," + rho_cte("dp", "de", "run, fraction") + " SELECT fraction, round(avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS run_a, round(avg(rho) FILTER (WHERE run = 'b'), 6) + 0.0 AS run_b, round(avg(rho) FILTER (WHERE run = 'b') - avg(rho) FILTER (WHERE run = 'a'), 6) + 0.0 AS change FROM dp GROUP BY 1",
     "concept_lists": f"WITH v AS (SELECT model, layer, {_label('concept')} AS concept, min(vector_id) AS at_id FROM replication_results WHERE model IS NOT NULL AND layer IS NOT NULL AND {_label('concept')} IS NOT NULL GROUP BY ALL), g AS (SELECT model, layer, list(concept ORDER BY at_id, concept) AS l FROM v GROUP BY ALL) SELECT a.model, list_sort(a.l) = list_sort(b.l) AS same_set, a.l = b.l AS same_list, CAST(len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) AS INTEGER) AS n_only_last, CAST(len(list_filter(b.l, lambda x: NOT list_contains(a.l, x))) AS INTEGER) AS n_only_mid FROM g a JOIN g b ON a.model = b.model AND a.layer = '-1' AND b.layer = 'mid'",
     "result_payload": _KINDS + " SELECT count(*) AS n_pairs, count(DISTINCT model_a) AS n_models, 'holdout' AS missing FROM p",
     "review_pick": f"WITH d AS (SELECT doc_id, {_label('source')} AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM doc_review WHERE doc_id IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS k FROM d) SELECT source, doc_id FROM r WHERE k = 1",
-    "rsa_matrix": _KINDS + " SELECT model_a, model_b, round(rho, 6) + 0.0 AS rho FROM p UNION ALL SELECT model_b, model_a, round(rho, 6) + 0.0 FROM p UNION ALL SELECT model, model, 1.0 FROM (SELECT DISTINCT model FROM e)",
+    "rsa_matrix": _KINDS + " SELECT model_a, model_b, round(rho, 6) + 0.0 AS rho FROM p UNION ALL SELECT model_b, model_a, round(rho, 6) + 0.0 FROM p UNION ALL SELECT model, model, 1.0 FROM (SELECT model_a AS model FROM p UNION SELECT model_b FROM p)",
     "rsa_family_medians": _KINDS + ", s AS (SELECT model_a AS model, kind_b, rho FROM k UNION ALL SELECT model_b, kind_a, rho FROM k) SELECT model, " + ", ".join(f"round(coalesce(median(rho) FILTER (WHERE {_pilot('kind_b')} = '{f}'), 0), 6) + 0.0 AS {f}" for f in ("language", "vision", "vlm", "other")) + " FROM s GROUP BY 1",
     "run_movers": _RUNP + f", t AS (SELECT *, round(abs(change), 9) AS size FROM ch ORDER BY round(abs(change), 9) DESC, model_a, model_b LIMIT 20) SELECT least({_pilot('kind_a')}, {_pilot('kind_b')}) || '-' || greatest({_pilot('kind_a')}, {_pilot('kind_b')}) AS families, count(*) AS n, round(max(size), 6) + 0.0 AS most FROM t GROUP BY 1",
     "base_concepts": _CUR + f" SELECT DISTINCT {_label('concept')} AS concept FROM replication_results WHERE {_label('concept')} IN (SELECT concept FROM ro) AND {_label('concept')} NOT IN (SELECT concept FROM re)",

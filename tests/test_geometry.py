@@ -4,17 +4,17 @@ from tests.conftest import SMALL, rows
 
 from quillon.operators.constraints import first_of, uniform, unique, violations
 from quillon.operators.curation import average_hash, capped_splits, closure, greedy_accept, hamming, reachable, replace_in_place, upsert
-from quillon.operators.geometry import cka_pairs, rsa_pairs, similarity_edges
+from quillon.operators.geometry import centroids, cka_pairs, rsa_pairs, similarity_edges
 from quillon.operators.ranking import average_rank, with_fdr
-from quillon.operators.resample import image_draws, mantel
+from quillon.operators.resample import average_ranks, bootstrap_rsa, edge_bootstrap, image_draws, mantel, placed_in, subset_rsa
 from quillon.plans import inference
 from pyspark.sql import functions as F
 
 
-def long_form(spark, x):
+def arrays(spark, x):
     """x: model -> concept x dim."""
-    data = [(m, c, d, float(v)) for m, a in x.items() for c, row in enumerate(a) for d, v in enumerate(row)]
-    return spark.createDataFrame(data, "model string, concept int, d int, v double")
+    data = [(m, c, [float(v) for v in row]) for m, a in x.items() for c, row in enumerate(a)]
+    return spark.createDataFrame(data, "model string, concept int, x array<double>")
 
 
 def ranks(v):
@@ -45,7 +45,7 @@ def x():
 
 
 def test_rsa_is_numpys(spark, x):
-    got = {(r["model_a"], r["model_b"]): r["rho"] for r in rsa_pairs(similarity_edges(long_form(spark, x), ["model"])).collect()}
+    got = {(r["model_a"], r["model_b"]): r["rho"] for r in rsa_pairs(similarity_edges(arrays(spark, x), ["model"])).collect()}
     assert len(got) == 10
     for (a, b), v in got.items():
         assert v == pytest.approx(rho(x[a], x[b]), abs=1e-9)
@@ -54,14 +54,14 @@ def test_rsa_is_numpys(spark, x):
 def test_rsa_ignores_scale(spark, x):
     one = {"a": x["a"], "b": x["b"]}
     two = {"a": x["a"] * 7, "b": x["b"] * 0.1}
-    f = lambda d: rsa_pairs(similarity_edges(long_form(spark, d), ["model"])).first()["rho"]
+    f = lambda d: rsa_pairs(similarity_edges(arrays(spark, d), ["model"])).first()["rho"]
     assert f(one) == pytest.approx(f(two), abs=1e-9)
 
 
 def test_cka_is_numpys_and_ignores_rotation(spark, x):
     q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(5, 5)))
     d = {"a": x["a"], "b": x["b"], "r": x["a"] @ q, "flat": x["flat"]}
-    got = {(r["model_a"], r["model_b"]): r["cka"] for r in cka_pairs(long_form(spark, d)).collect()}
+    got = {(r["model_a"], r["model_b"]): r["cka"] for r in cka_pairs(arrays(spark, d)).collect()}
 
     def gram(m):
         u = m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -74,6 +74,42 @@ def test_cka_is_numpys_and_ignores_rotation(spark, x):
     assert got["a", "flat"] is None
 
 
+def test_pairs_use_shared_concepts_only(spark, x):
+    df = arrays(spark, {"a": x["a"], "b": x["b"]}).where("model = 'a' or concept < 7")
+    r = rsa_pairs(similarity_edges(df, ["model"])).first()
+    assert r["n_edges"] == 21 and r["rho"] == pytest.approx(rho(x["a"][:7], x["b"][:7]), abs=1e-9)
+
+
+def test_centroids_are_means_and_lengths_are_checked(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 1, [3.0, 6.0]), ("a", 2, [0.0, 1.0])], "model string, concept int, x array<float>").repartition(3)
+    assert rows(centroids(df, ["model"])) == [("a", 1, [2.0, 4.0]), ("a", 2, [0.0, 1.0])]
+    bad = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 1, [3.0])], "model string, concept int, x array<float>")
+    with pytest.raises(Exception, match="differ in length"):
+        centroids(bad, ["model"]).collect()
+
+
+def test_resampling_is_numpys(spark, x):
+    e = similarity_edges(arrays(spark, {k: x[k] for k in "ab"}), ["model"])
+    full = rho(x["a"], x["b"])
+    all_of = {r["rho"] for r in subset_rsa(e, [12], 5).collect()}
+    assert all(v == pytest.approx(full, abs=1e-9) for v in all_of) and subset_rsa(e, [13], 5).count() == 0
+    drawn = [r["rho"] for r in edge_bootstrap(e, 40).collect()]
+    assert len(drawn) == 40 and min(drawn) < full < max(drawn)
+    assert average_ranks(np.array([3.0, 1.0, 3.0, 2.0])).tolist() == [3.5, 1.0, 3.5, 2.0]
+
+
+def test_image_bootstrap(spark, x):
+    rng = np.random.default_rng(3)
+    data = [(i * 100 + n, "m", i, [float(v) for v in row + 0.1 * rng.normal(size=5)]) for i, row in enumerate(x["a"]) for n in range(i + 1)]
+    df = placed_in(spark.createDataFrame(data, "vec_id long, model string, concept int, x array<double>").withColumn("concept", F.format_string("%02d", "concept")), ["model", "concept"], "vec_id")
+    assert all(sorted(r["p"]) == list(range(r["n"])) for r in df.groupBy("concept", "n").agg(F.collect_list("pos").alias("p")).collect())
+    fixed = arrays(spark, {"f": x["b"], "g": x["c"]}).withColumn("concept", F.format_string("%02d", "concept"))
+    got = bootstrap_rsa(df, fixed, 30, 4).collect()
+    assert {(r["model_a"], r["model_b"]) for r in got} == {("f", "m"), ("g", "m")} and {r["draw"] for r in got} == set(range(30))
+    mean = np.mean([r["rho"] for r in got if r["model_a"] == "f"])
+    assert abs(mean - rho(x["a"], x["b"])) < 0.2
+
+
 def test_average_rank_and_fdr(spark):
     df = spark.createDataFrame([("g", v) for v in (3.0, 1.0, 3.0, 2.0)], "g string, v double")
     assert [r["r"] for r in df.withColumn("r", average_rank("v", "g")).orderBy("v").collect()] == [1.0, 2.0, 3.5, 3.5]
@@ -89,7 +125,7 @@ def test_average_rank_and_fdr(spark):
 
 
 def test_mantel_bounds(spark, x):
-    got = mantel(similarity_edges(long_form(spark, {k: x[k] for k in "abc"}), ["model"]), 30).collect()
+    got = mantel(similarity_edges(arrays(spark, {k: x[k] for k in "abc"}), ["model"]), 30).collect()
     for r in got:
         assert 1 / 31 <= r["p"] <= 1
         assert r["rho"] == pytest.approx(rho(x[r["model_a"]], x[r["model_b"]]), abs=1e-9)
@@ -148,6 +184,6 @@ def test_checks(spark):
 
 
 def test_registered_counts_are_the_reference_s(spark):
-    w = inference.QUERIES["bootstrap_draws"](spark, SMALL).groupBy("draw", "concept").agg(F.sum("w").alias("w"))
+    w = inference.QUERIES["bootstrap_draws"](spark, SMALL).groupBy("model", "draw", "concept").agg(F.sum("w").alias("w"))
     assert w.agg(F.countDistinct("draw"), F.min("w"), F.max("w")).first() == (300, 10, 10)
     assert (inference.PERMUTATIONS, inference.EDGE_DRAWS, inference.SUBSET_DRAWS, inference.SIZES) == (3000, 1000, 1000, [8, 10, 12, 15, 18])
