@@ -14,17 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.durable import spread
-
 #: Where the vocabulary files lie; a parameter of all queries, never copied here.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 #: Unicode white space; the JVM's own \s knows ASCII only.
 _S = r"\t-\r \u0085   -     　"
 #: Fixed by the vocabulary: how text is split before merges.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Words of more bytes than this are merged with a heap, which takes n log n steps instead of n squared.
-FOLD_BYTES = 192
+PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Texts with an unbroken run of more characters of one class than this are merged with a heap, which takes n log n steps
+#: instead of n squared.
+FOLD_CHARS = 256
+LONG_RUN = rf"\p{{L}}{{{FOLD_CHARS}}}|\p{{N}}{{{FOLD_CHARS}}}|[{_S}]{{{FOLD_CHARS}}}|[^{_S}\p{{L}}\p{{N}}]{{{FOLD_CHARS}}}"
+#: Most frequent words that are merged once for all texts; others are merged where they stand. No result depends on it.
+FREQUENT, _PLACES = 65_536, 1 << 17
 _BITS = 17
 _SIZE = 1 << _BITS
 
@@ -99,14 +101,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def fold_merges(word: Column, path: str) -> Column:
-    """The ids of a word: in each step of the fold all places of its lowest-ranked pair are merged."""
-    m1, m2, table = rank_table(path)
+def fold_merges(word: Column, tab: Column, path: str) -> Column:
+    """The ids of a word by the ranks ``tab``: in each step of the fold all places of its lowest-ranked pair are merged."""
+    m1, m2, _ = rank_table(path)
     byte_ids = F.from_json(F.lit(json.dumps(load(path).bytes_)), "array<bigint>")
     start = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
     none = F.lit(None).cast("bigint")
 
-    def lookup(tab: Column, a: Column, b: Column) -> Column:
+    def lookup(a: Column, b: Column) -> Column:
         key = F.shiftleft(a, _BITS).bitwiseOR(b)
         places = [F.get(tab, F.shiftright(key * F.lit(m), _BITS).bitwiseAND(F.lit(_SIZE - 1)).cast("int")) for m in (m1, m2)]
         out = none
@@ -114,25 +116,26 @@ def fold_merges(word: Column, path: str) -> Column:
             out = F.when(F.shiftright(e, _BITS) == key, e.bitwiseAND(F.lit(_SIZE - 1))).otherwise(out)
         return out
 
-    def step(tab: Column, ids: Column) -> Column:
-        pairs = F.transform(F.slice(ids, 2, F.size(ids)), lambda x, i: lookup(tab, F.get(ids, i), x))
+    def step(ids: Column) -> Column:
+        pairs = F.transform(F.slice(ids, 2, F.size(ids)), lambda x, i: lookup(F.get(ids, i), x))
 
         def merged(best: Column) -> Column:
             def take(acc: Column, x: Column) -> Column:
                 n = F.size(acc)
-                hit = (n > 0) & (lookup(tab, F.get(acc, n - 1), x) == best)
+                hit = (n > 0) & (lookup(F.get(acc, n - 1), x) == best)
                 return F.when(hit, F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(best))).otherwise(F.concat(acc, F.array(x)))
 
             return F.aggregate(ids, F.array().cast("array<bigint>"), take)
 
         return F.get(F.transform(F.array(F.array_min(pairs)), lambda best: F.when(best.isNull(), ids).otherwise(merged(best))), 0)
 
-    def fold(tab: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1))), start, lambda ids, _: step(tab, ids))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1))), start, lambda ids, _: step(ids))
+    return F.transform(folded, lambda i: i.cast("int"))
+
 
-    # The table is bound to a name once, as a constant of the plan.
-    tab = F.from_json(F.lit(table), "array<bigint>")
-    return F.transform(F.get(F.transform(F.array(tab), fold), 0), lambda i: i.cast("int"))
+def ranks_column(path: str) -> Column:
+    """The table of ranks, as a constant of the plan."""
+    return F.from_json(F.lit(rank_table(path)[2]), "array<bigint>")
 
 
 def heap_merges(data: bytes, ranks: Ranks) -> list[int]:
@@ -158,58 +161,88 @@ def heap_merges(data: bytes, ranks: Ranks) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def encode_words(distinct: DataFrame, path: str) -> DataFrame:
-    """word, ids: the ids of each row of distinct(word)."""
-    small = distinct.where(F.octet_length("word") <= FOLD_BYTES).select("word", fold_merges(F.col("word"), path).alias("ids"))
+def frequent_words(docs: DataFrame, path: str) -> str:
+    """The ``FREQUENT`` most frequent words of all texts with their ids, as a JSON array of places by the word's hash.
 
-    def long_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = load(path)
-        for pdf in batches:
-            yield pdf.assign(ids=[heap_merges(w.encode(), ranks) for w in pdf["word"]])
+    What stands between spaces is counted over all texts, in the map tasks first, and then cut into words;
+    a bounded number comes to the driver.
+    """
+    between = docs.select(F.explode(F.split("_text", " ")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    counts = between.select(F.explode(words(F.concat(F.lit(" "), "part"))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where(F.length("word") < FOLD_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    # A few words a task, as merging is the work and their bytes are few.
+    top = top.select("word", "n").repartition(16, "word")
+    ids = F.get(F.transform(F.array(ranks_column(path)), lambda tab: fold_merges(F.col("word"), tab, path)), 0)
+    places: list[dict | None] = [None] * _PLACES
+    for r in sorted(top.select("word", "n", ids.alias("ids"), F.xxhash64("word").alias("h")).collect(), key=lambda r: (-r["n"], r["word"])):
+        at = [r["h"] & (_PLACES - 1), (r["h"] >> 20) & (_PLACES - 1)]
+        if free := [i for i in at if places[i] is None]:
+            places[free[0]] = {"w": r["word"], "i": list(r["ids"])}
+    return json.dumps(places, separators=(",", ":"))
+
+
+def _by_word(docs: DataFrame, path: str, value, joined) -> Column:
+    """``joined`` of the array of the ``value`` of every word's ids, for texts without a long run.
+
+    A frequent word is looked up at the two places its hash allows; any other is folded where it stands.
+    """
+    table = F.from_json(F.lit(frequent_words(docs, path)), "array<struct<w:string,i:array<int>>>")
+
+    def known(freq: Column, word: Column) -> Column:
+        h = F.xxhash64(word)
+        out = None
+        for place in (h, F.shiftright(h, 20)):
+            entry = F.get(freq, place.bitwiseAND(F.lit(_PLACES - 1)).cast("int"))
+            hit = F.when(entry["w"] == word, entry["i"])
+            out = hit if out is None else F.coalesce(out, hit)
+        return out
 
-    return small.unionByName(distinct.where(F.octet_length("word") > FOLD_BYTES).mapInPandas(long_words, "word string, ids array<int>"))
+    tables = F.struct(table.alias("freq"), ranks_column(path).alias("ranks"))
+    every = lambda t: F.transform(words(F.col("_text")), lambda w: value(F.coalesce(known(t["freq"], w), fold_merges(w, t["ranks"], path))))
+    return F.get(F.transform(F.array(tables), lambda t: joined(every(t))), 0)
 
 
-SALTS = 8
+def _documents(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _text) of the texts without a long run, and those with one with their words."""
+    docs = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.col(text).cast("string").alias("_text"))
+    # Nearly all texts stop at the first condition. A run that it does not see, of mixed white space, is merely slower.
+    some = F.exists(F.split("_text", " "), lambda part: F.length(part) >= FOLD_CHARS) | F.contains(F.col("_text"), F.lit(" " * FOLD_CHARS))
+    long = F.coalesce(some & F.col("_text").rlike(LONG_RUN), F.lit(False))
+    return docs.where(~long), docs.where(long)
 
 
-def _with_words(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, at, word, _salt) of all words of all texts, and the encoded words on each salt.
+def _heaped(long: DataFrame, path: str) -> DataFrame:
+    """_id, ids of texts with long runs, their words merged with a heap."""
 
-    Each distinct word stands once a salt, so the encoded side is the small one of the join: it is
-    hashed per partition, and the occurrences, by far the more rows, need no sort.
-    """
-    rows = spread(docs, "_id").select("_id", F.posexplode(words(F.col("_text"))).alias("at", "word"))
-    coded = encode_words(rows.select("word").distinct(), path).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")), coded
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = load(path)
+        for pdf in batches:
+            yield pd.DataFrame({"_id": pdf["_id"], "ids": [[i for w in some for i in heap_merges(w.encode(), ranks)] for some in pdf["words"]]})
+
+    return long.select("_id", words(F.col("_text")).alias("words")).mapInPandas(run, f"_id {dict(long.dtypes)['_id']}, ids array<int>")
 
 
 def encode(df: DataFrame, record: str, text: str, path: str | None = None) -> DataFrame:
     """``record`` and ids (array<int>) of each text by a byte-level BPE file, without special tokens.
 
     Null and empty texts have an empty list; strings of special tokens are ordinary text; texts of
-    any length are encoded whole. ``record`` is unique; a null record id is left out. Each distinct
-    word is merged once; occurrences are joined to it on eight salts, so that no frequent word
-    gathers in a task. Other columns are ignored.
+    any length are encoded whole. ``record`` is unique; a null record id is left out. The most frequent
+    words are merged once and looked up, all others are merged where they stand, so nothing but the words'
+    counts is shuffled. Other columns are ignored.
     """
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
-    docs = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.col(text).alias("_text"))
-    rows, coded = _with_words(docs, path)
-    joined = rows.join(coded.hint("shuffle_hash"), ["word", "_salt"])
-    ids = joined.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select("_id", F.flatten("parts.ids").alias("ids"))
-    empty = docs.where("_text is null or _text = ''").select("_id", F.array().cast("array<int>").alias("ids"))
-    return ids.unionByName(empty).withColumnRenamed("_id", record)
+    docs, long = _documents(df, record, text)
+    ids = docs.select("_id", _by_word(docs, path, lambda ids: ids, F.flatten).alias("ids"))
+    return ids.unionByName(_heaped(long, path)).withColumnRenamed("_id", record)
 
 
 def token_counts(df: DataFrame, record: str, text: str, path: str | None = None) -> DataFrame:
     """``record`` and n_tokens (0 for null and empty texts), without putting the ids together."""
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
-    docs = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.col(text).alias("_text"))
-    rows, coded = _with_words(docs, path)
-    counted = rows.groupBy("_id", "word", "_salt").agg(F.count("*").alias("n")).join(coded.select("word", "_salt", F.size("ids").alias("size")).hint("shuffle_hash"), ["word", "_salt"])
-    sums = counted.groupBy("_id").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens"))
-    empty = docs.where("_text is null or _text = ''").select("_id", F.lit(0).cast("long").alias("n_tokens"))
-    return sums.unionByName(empty).withColumnRenamed("_id", record)
+    docs, long = _documents(df, record, text)
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)
+    sizes = docs.select("_id", _by_word(docs, path, F.size, total).alias("n_tokens"))
+    return sizes.unionByName(_heaped(long, path).select("_id", F.size("ids").cast("long").alias("n_tokens"))).withColumnRenamed("_id", record)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
