@@ -16,7 +16,7 @@ class DyadicCountTree:
     level covers codes of one interval and has the children ``2k`` and ``2k + 1`` (1 is the root).
     ``add_batch`` appends a batch's node counts and its new records under ``path``; a record whose
     id came in an earlier batch, or twice in one, counts once. Any source's rank is found by walking
-    from the root, so a new batch costs a pass over that batch alone. Each batch is written to its
+    from the root, so a new batch costs a pass over that batch and over the ids of the earlier ones. Each batch is written to its
     own folder and marked as done only then: a batch that was lost half way is not seen and is written
     anew. A tree on the path of an earlier one goes on after its batches; it must have the same depth.
     """

@@ -37,26 +37,35 @@ def draw(members: DataFrame, supplied: DataFrame, seed: int = 42) -> DataFrame:
     """The sample: rows of ``members`` of each category, exactly min(quota, n_available) of each.
 
     Every record has a fixed random number by ``seed``. A category's acceptance probability is its
-    quota over its members, raised by four standard deviations; each record is accepted by itself,
-    and the accepted of a category are cut to the quota by rank. A category that came out short
-    although it has the members takes part in a second pass with probability 1. Ranks are limited in
-    the map tasks, so that a category with a third of all records stays cheap.
+    quota over its members, raised by four standard deviations; each record is accepted by itself in the
+    map tasks, and the accepted of a category are cut to the quota by rank. A category with no more members
+    than its quota takes all, unranked. One that came out short by chance accepts anew with four times the
+    probability, until it is full. So a task ranks little more rows of a category than its quota, whatever its size.
     """
     q = F.col("quota").cast("double")
     probability = F.least(F.lit(1.0), (q + 4 * F.sqrt(q) + 8) / F.col("n_available"))
     plan = supplied.where("quota > 0 and n_available > 0").select(*KEYS, "quota", "n_available", probability.alias("p"))
     u = uniform_hash(seed, "run_id", "category_field", "record")
+    everyone = F.col("n_available") <= F.col("quota")
 
     def accept(plan: DataFrame) -> DataFrame:
         rows = lookup_join(members, plan, KEYS, salt_on="record").withColumn("u", u).where("u < p")
         rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("u", "record"))
-        return rows.withColumn("draw_rank", rank).where("draw_rank <= quota")
-
-    # A quota is not a constant, so the limit in the map tasks comes from the acceptance itself.
-    first = durable(accept(plan).select("record", *KEYS, "u", "draw_rank", "quota", "n_available"))
-    reached = first.groupBy(*KEYS).agg(F.count("*").alias("n_drawn"))
-    short = durable(plan.join(reached, KEYS, "left").where("coalesce(n_drawn, 0) < least(quota, n_available)").select(*KEYS, "quota", "n_available", F.lit(1.0).alias("p")))
-    if short.isEmpty():
-        return first.select("record", *KEYS)
-    again = accept(short).select("record", *KEYS)
-    return first.join(short.select(*KEYS), KEYS, "left_anti").select("record", *KEYS).unionByName(again)
+        cut = rows.where(~everyone).withColumn("draw_rank", rank).where("draw_rank <= quota")
+        return rows.where(everyone).select("record", *KEYS).unionByName(cut.select("record", *KEYS))
+
+    sample = durable(accept(plan))
+    while True:
+        reached = sample.groupBy(*KEYS).agg(F.count("*").alias("n_drawn"))
+        short = plan.join(reached, KEYS, "left").where("p < 1 and coalesce(n_drawn, 0) < quota")
+        short = durable(short.select(*KEYS, "quota", "n_available", F.least(F.lit(1.0), F.col("p") * 4).alias("p")))
+        if short.isEmpty():
+            return sample
+        sample = durable(sample.join(short.select(*KEYS), KEYS, "left_anti").select("record", *KEYS).unionByName(accept(short)))
+        plan = short
+
+
+def deficits(supplied: DataFrame, sample: DataFrame) -> DataFrame:
+    """``supplied`` with n_drawn, the rows of ``sample`` in each category, and shortfall, what is left of the quota."""
+    drawn = sample.groupBy(*KEYS).agg(F.count("*").alias("n_drawn"))
+    return supplied.drop("shortfall").join(drawn, KEYS, "left").withColumn("n_drawn", F.coalesce("n_drawn", F.lit(0))).withColumn("shortfall", F.greatest(F.col("quota") - F.col("n_drawn"), F.lit(0)))

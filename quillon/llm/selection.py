@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.forms import label_form, usable_score
 from quillon.llm.cutoff import DyadicCountTree, cutoffs, kept_records
-from quillon.llm.quota import draw, quotas, supply
+from quillon.llm.quota import KEYS, deficits, draw, quotas, supply
 from quillon.llm.topn import top_n_per_group
 from quillon.plans.durable import durable, lookup_join
 from quillon.plans.tables import table
@@ -30,10 +30,12 @@ def p3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DyadicCountTree, DataFrame]:
+    """The tree over all candidates, added in three batches by the year they came in."""
     tree = DyadicCountTree(spark)
-    rows = table(spark, sf_dir, "candidate").where(usable_score("clip_score")).select("candidate_id", label_form("source").alias("source"), "clip_score")
+    rows = table(spark, sf_dir, "candidate").where(usable_score("clip_score")).select("candidate_id", label_form("source").alias("source"), "clip_score", F.year("ingested_at").alias("year"))
     targets = table(spark, sf_dir, "source_target").select(label_form("source").alias("source"), "target_fraction")
-    tree.add_batch(rows, "source", "clip_score", "candidate_id")
+    for batch in (F.coalesce(F.col("year") < 2025, F.lit(True)), F.col("year") == 2025, F.col("year") > 2025):
+        tree.add_batch(rows.where(batch), "source", "clip_score", "candidate_id")
     return tree, targets
 
 
@@ -54,40 +56,57 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("concept is not null").groupBy("concept").agg(F.max("stratum").alias("stratum"), F.max("source_feasibility").alias("source_feasibility"))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record, run_id, category_field, category_value: each candidate once per category it is in."""
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "sample_target")
+    return quotas(t.select("run_id", F.lower(F.trim("category_field")).alias("category_field"), label_form("category_value").alias("category_value"), "target_share", "min_rows", "sample_size"))
+
+
+def members(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
+    """record, run_id, category_field, category_value: each candidate once per category it is in that a target asks for."""
     rows = table(spark, sf_dir, "candidate").select(F.col("candidate_id").alias("record"), "run_id", label_form("concept").alias("concept"), label_form("source").alias("source"))
     rows = rows.where("record is not null and run_id is not null").dropDuplicates(["record"])
     rows = lookup_join(rows, categories(spark, sf_dir), ["concept"], "left", "record")
     fields = F.array(*[F.struct(F.lit(c).alias("category_field"), F.col(c).alias("category_value")) for c in ("stratum", "source", "source_feasibility")])
-    return rows.select("record", "run_id", F.explode(fields).alias("x")).select("record", "run_id", "x.*").where("category_value is not null")
+    rows = rows.select("record", "run_id", F.explode(fields).alias("x")).select("record", "run_id", "x.*").where("category_value is not null")
+    return lookup_join(rows, targets.select(*KEYS), KEYS, salt_on="record").select("record", *KEYS)
 
 
-def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "sample_target")
-    return quotas(t.select("run_id", F.lower(F.trim("category_field")).alias("category_field"), label_form("category_value").alias("category_value"), "target_share", "min_rows", "sample_size"))
+def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sample, and the targets with what there is of each."""
+    targets = durable(wanted(spark, sf_dir))
+    rows = durable(members(spark, sf_dir, targets))
+    supplied = durable(supply(rows, targets))
+    return draw(rows, supplied, SEED), supplied
 
 
 def p6_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supply(members(spark, sf_dir), wanted(spark, sf_dir)).where("shortfall > 0").select("run_id", "category_field", "category_value", "quota", "n_available", "shortfall")
+    """The targets that the sample, as drawn, falls short of."""
+    sample, supplied = sampled(spark, sf_dir)
+    return deficits(supplied, sample).where("shortfall > 0").select(*KEYS, "quota", "n_available", "shortfall")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_deficits(spark, sf_dir).select("run_id", "category_field", "category_value")
+    return p6_deficits(spark, sf_dir).select(*KEYS)
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(members(spark, sf_dir))
-    return draw(rows, durable(supply(rows, wanted(spark, sf_dir))), SEED).withColumnRenamed("record", "candidate_id")
+    return sampled(spark, sf_dir)[0].withColumnRenamed("record", "candidate_id")
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sample holds of each category against its quota."""
-    rows = durable(members(spark, sf_dir))
-    supplied = durable(supply(rows, wanted(spark, sf_dir)))
-    drawn = draw(rows, supplied, SEED).groupBy("run_id", "category_field", "category_value").agg(F.count("*").alias("n_drawn"))
-    keys = ["run_id", "category_field", "category_value"]
-    return supplied.join(drawn, keys, "left").select(*keys, "quota", "n_available", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"), "shortfall")
+    sample, supplied = sampled(spark, sf_dir)
+    return deficits(supplied, sample).select(*KEYS, "quota", "n_available", "n_drawn", "shortfall")
+
+
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the sample, counted: records repeated in a category, and records that are in no candidate row."""
+    sample = sampled(spark, sf_dir)[0]
+    repeated = sample.groupBy("record", *KEYS).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n_repeated"))
+    known = table(spark, sf_dir, "candidate").select(F.col("candidate_id").alias("record"), "run_id").distinct()
+    unknown = sample.join(known, ["record", "run_id"], "left_anti").agg(F.count("*").alias("n_unknown"))
+    # Two rows of one number each.
+    return repeated.join(unknown).join(sample.agg(F.count("*").alias("n_sampled")))
 
 
 def _label(c: str) -> str:
@@ -119,6 +138,7 @@ SQL = {
     "p4_cutoffs": _P4 + ", tot AS (SELECT source, count(*) AS n_scored FROM c GROUP BY 1) SELECT t.source, target_fraction, coalesce(n_scored, 0) AS n_scored, cutoff, CAST(coalesce(kept, 0) AS BIGINT) AS kept FROM t LEFT JOIN cut ON cut.source = t.source LEFT JOIN tot ON tot.source = t.source WHERE t.source IS NOT NULL",
     "p6_found": _P6 + " SELECT run_id, category_field, category_value FROM s WHERE n_available < quota",
     "p6_deficits": _P6 + " SELECT run_id, category_field, category_value, quota, n_available, quota - n_available AS shortfall FROM s WHERE n_available < quota",
+    "p6_checks": _P6 + " SELECT CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_unknown, CAST(coalesce(sum(least(quota, n_available)), 0) AS BIGINT) AS n_sampled FROM s",
     "p6_shares": _P6 + " SELECT run_id, category_field, category_value, quota, n_available, least(quota, n_available) AS n_drawn, greatest(quota - n_available, 0) AS shortfall FROM s",
 }
-QUERIES = {"p3_found": p3_found, "p3_ranked": p3_ranked, "p4_found": p4_found, "p4_cutoffs": p4_cutoffs, "p6_found": p6_found, "p6_deficits": p6_deficits, "p6_sample": p6_sample, "p6_shares": p6_shares}
+QUERIES = {"p3_found": p3_found, "p3_ranked": p3_ranked, "p4_found": p4_found, "p4_cutoffs": p4_cutoffs, "p6_found": p6_found, "p6_deficits": p6_deficits, "p6_sample": p6_sample, "p6_shares": p6_shares, "p6_checks": p6_checks}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.durable import durable
+from quillon.plans.durable import durable, scratch
 
 #: Shares of all rows at or above the lower edge of each band; the last band holds the rest.
 BANDS = (0.05, 0.3)
@@ -39,7 +39,11 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: Sequence[Column]
     band = F.lit(len(edges))
     for i, edge in reversed(list(enumerate(edges))):
         band = F.when(F.col(score) >= edge, i).otherwise(band)
-    banded = durable(rows.withColumn("__band", band).repartitionByRange(F.col(score).desc()))
+    # The record as second key spreads a frequent score over several tasks; a band has files of its own.
+    banded = rows.withColumn("__band", band).repartitionByRange(F.col(score).desc(), F.col(record))
+    path = scratch(df.sparkSession)
+    banded.write.partitionBy("__band").parquet(path)
+    banded = df.sparkSession.read.schema(banded.schema).parquet(path)
     best: DataFrame | None = None
     for i in range(len(edges) + 1):
         part = banded.where(F.col("__band") == i).drop("__band")
