@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.durable import durable
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int, name: str = "slot") -> DataFrame:
     """The first ``n`` rows of each group, numbered from 1; limited in the map tasks."""
@@ -56,15 +57,22 @@ def capped_splits(hits: DataFrame, label: str, split_order: str, order: list[str
     return kept.join(open_, [label, split_order]).drop("_k")
 
 
-def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """child, ancestor: the transitive closure of edges(child, parent), by a recursive query."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(child, ancestor, level) AS (
-          SELECT child, parent, 1 FROM {{e}} UNION ALL SELECT up.child, e.parent, level + 1 FROM up JOIN {{e}} e ON e.child = up.ancestor WHERE level < {int(depth)})
-        SELECT child, ancestor, min(level) AS level FROM up GROUP BY child, ancestor""",
-        e=edges,
-    )
+def closure(edges: DataFrame) -> DataFrame:
+    """child, ancestor, level: the whole transitive closure of edges(child, parent); level: the fewest steps.
+
+    Known paths are joined to known paths, each round written to a table, until no pair appears or comes nearer:
+    a chain of m nodes takes about log m rounds. Nodes of a cycle are their own ancestors.
+    """
+    e = edges.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("level")).distinct()
+    known, before = durable(e), None
+    while True:
+        found = known.agg(F.count("*"), F.sum("level")).first()
+        if tuple(found) == before:
+            return known
+        before = tuple(found)
+        on = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("level").alias("_more"))
+        longer = known.join(on, "ancestor").select("child", F.col("_far").alias("ancestor"), (F.col("level") + F.col("_more")).alias("level"))
+        known = durable(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("level").alias("level")))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int, limit: int) -> DataFrame:

@@ -109,12 +109,13 @@ def fill_by_source(spark, sf_dir):
 
 
 def rejections(spark, sf_dir):
-    """Why candidates of a required source were not taken."""
+    """Why candidates of a required source were not taken: of a concept's good ones, all beyond the target are over the quota."""
     c = candidates(spark, sf_dir, required())
-    order = Window.partitionBy("concept", "source", "_good").orderBy("fetched_at", "candidate_id")
-    c = c.withColumn("_good", F.coalesce(good(), F.lit(False))).withColumn("_k", F.row_number().over(order))
-    reason = F.when(~F.coalesce(usable_score("clip_score"), F.lit(False)), "no_score").when(~F.col("_good"), "below_score").when(F.col("_k") > TARGET, "over_quota").otherwise("accepted")
-    return c.groupBy("source", reason.alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.when(~F.coalesce(usable_score("clip_score"), F.lit(False)), "no_score").when(~F.coalesce(good(), F.lit(False)), "below_score").otherwise("accepted")
+    n = c.groupBy("concept", "source", reason.alias("reason")).agg(F.count("*").alias("n"))
+    taken = F.when(F.col("reason") == "accepted", F.least("n", F.lit(TARGET))).otherwise(F.col("n"))
+    parts = F.array(F.struct("reason", taken.alias("n")), F.struct(F.lit("over_quota").alias("reason"), (F.col("n") - taken).alias("n")))
+    return n.select("source", F.inline(parts)).where("n > 0").groupBy("source", "reason").agg(F.sum("n").alias("n"))
 
 
 def worst_concepts(spark, sf_dir):
@@ -123,8 +124,8 @@ def worst_concepts(spark, sf_dir):
     return t.orderBy("n", (F.coalesce("feasibility", F.lit("")) != "medium").cast("int"), "concept").limit(15).select("concept", "n", "feasibility")
 
 
-def work_queue(spark, sf_dir):
-    """Unfilled concepts that have something to take, by what there is, all keys descending, the name too.
+def work_queue(spark, sf_dir, batch: int | None = None):
+    """The whole queue (or its first ``batch``): unfilled concepts that have something to take, by what there is, all keys descending, the name too.
 
     First whether there are hits, classes and labels at all and whether feasibility is high, then images
     held, hits, classes, labels, name.
@@ -135,7 +136,13 @@ def work_queue(spark, sf_dir):
     df = roster(spark, sf_dir).join(have, "concept").join(offer, "concept").where((F.col("n_images") < TARGET * len(SOURCES)) & ((F.col("n_hits") > 0) | (F.col("n_classes") > 0) | (F.col("n_labels") > 0)))
     high = F.coalesce(F.col("feasibility") == "high", F.lit(False))
     keys = [F.col("n_hits") > 0, F.col("n_classes") > 0, F.col("n_labels") > 0, high, *[F.col(k) for k in ("n_images", "n_hits", "n_classes", "n_labels", "concept")]]
-    return df.orderBy(*[k.desc() for k in keys]).limit(40).select("concept", "n_images", "n_hits", "n_classes", "n_labels", high.alias("high"))
+    df = df.orderBy(*[k.desc() for k in keys])
+    return (df if batch is None else df.limit(batch)).select("concept", "n_images", "n_hits", "n_classes", "n_labels", high.alias("high"))
+
+
+def work_batch(spark, sf_dir):
+    """The next forty of the queue."""
+    return work_queue(spark, sf_dir, 40)
 
 
 def tracker_slots(spark, sf_dir):
@@ -424,6 +431,8 @@ SQL = {
     "rejections": _CUR + f", x AS (SELECT source, {_U} AS u, coalesce({_U} AND clip_score >= 0.25, FALSE) AS good, row_number() OVER (PARTITION BY concept, source, coalesce({_U} AND clip_score >= 0.25, FALSE) ORDER BY fetched_at NULLS FIRST, candidate_id) AS k FROM ca WHERE concept IS NOT NULL AND source IN {_IN}) SELECT source, CASE WHEN NOT u THEN 'no_score' WHEN NOT good THEN 'below_score' WHEN k > 5 THEN 'over_quota' ELSE 'accepted' END AS reason, count(*) AS n FROM x GROUP BY ALL",
     "worst_concepts": _CUR + " SELECT concept, CAST(sum(n) AS BIGINT) AS n, feasibility FROM ct JOIN ro USING (concept) GROUP BY concept, feasibility HAVING sum(n) < 15 ORDER BY sum(n), CASE WHEN coalesce(feasibility, '') <> 'medium' THEN 1 ELSE 0 END, concept LIMIT 15",
     "work_queue": _CUR + f", o AS (SELECT concept, CAST(sum(CASE WHEN {_U} AND clip_score >= 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS n_hits, count(DISTINCT source_class_id) AS n_classes, count(DISTINCT source_class_label) AS n_labels FROM ca WHERE concept IS NOT NULL AND source IN {_IN} GROUP BY 1), h AS (SELECT concept, CAST(sum(n) AS BIGINT) AS n_images FROM ct GROUP BY 1)"
+    + " SELECT concept, n_images, n_hits, n_classes, n_labels, coalesce(feasibility = 'high', FALSE) AS high FROM ro JOIN h USING (concept) JOIN o USING (concept) WHERE n_images < 15 AND (n_hits > 0 OR n_classes > 0 OR n_labels > 0) ORDER BY n_hits > 0 DESC, n_classes > 0 DESC, n_labels > 0 DESC, coalesce(feasibility = 'high', FALSE) DESC, n_images DESC, n_hits DESC, n_classes DESC, n_labels DESC, concept DESC",
+    "work_batch": _CUR + f", o AS (SELECT concept, CAST(sum(CASE WHEN {_U} AND clip_score >= 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS n_hits, count(DISTINCT source_class_id) AS n_classes, count(DISTINCT source_class_label) AS n_labels FROM ca WHERE concept IS NOT NULL AND source IN {_IN} GROUP BY 1), h AS (SELECT concept, CAST(sum(n) AS BIGINT) AS n_images FROM ct GROUP BY 1)"
     + " SELECT concept, n_images, n_hits, n_classes, n_labels, coalesce(feasibility = 'high', FALSE) AS high FROM ro JOIN h USING (concept) JOIN o USING (concept) WHERE n_images < 15 AND (n_hits > 0 OR n_classes > 0 OR n_labels > 0) ORDER BY n_hits > 0 DESC, n_classes > 0 DESC, n_labels > 0 DESC, coalesce(feasibility = 'high', FALSE) DESC, n_images DESC, n_hits DESC, n_classes DESC, n_labels DESC, concept DESC LIMIT 40",
     "tracker_slots": _CUR + ", sl AS (SELECT concept, source, CAST(slot AS INTEGER) AS slot FROM ro, so, (SELECT unnest(range(1, 6)) AS slot)) SELECT sl.concept, sl.source, sl.slot, coalesce(candidate_id, -1) AS candidate_id FROM sl LEFT JOIN ac ON ac.concept = sl.concept AND ac.source = sl.source AND ac.slot = sl.slot",
     "reserve_status": _CUR + " SELECT * FROM rs",
@@ -440,7 +449,7 @@ SQL = {
     "rollback_counts": _CUR + " SELECT concept, CAST(sum(CASE WHEN state = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) AS n_left, CAST(sum(CASE WHEN state = 'rolled_back' THEN 1 ELSE 0 END) AS BIGINT) AS n_back FROM rb GROUP BY 1",
     "label_matches": _CUR + f", lb AS (SELECT {_norm('source_class_label')} AS label, min(source_class_id) AS class_id FROM candidate WHERE {_norm('source_class_label')} <> '' AND source_class_id IS NOT NULL GROUP BY 1), n AS (SELECT concept, {_norm('concept')} AS name FROM ro) SELECT n.concept, coalesce(a.label, b.label) AS label, coalesce(a.class_id, b.class_id) AS class_id, CASE WHEN a.label IS NOT NULL THEN 'exact' WHEN b.label IS NOT NULL THEN 'proxy' ELSE 'none' END AS how FROM n LEFT JOIN lb a ON a.label = name LEFT JOIN lb b ON b.label = split_part(name, ' ', -1)",
     "label_hits": _CUR + ", h AS (SELECT source_class_id, acquisition_method, candidate_id, row_number() OVER (PARTITION BY source_class_id, acquisition_method ORDER BY candidate_id) AS k FROM ca WHERE source_class_id IS NOT NULL AND acquisition_method IS NOT NULL), g AS (SELECT * FROM h WHERE k <= 4), p AS (SELECT source_class_id, acquisition_method, coalesce(sum(count(*)) OVER (PARTITION BY source_class_id ORDER BY acquisition_method ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g GROUP BY 1, 2) SELECT g.source_class_id, g.acquisition_method, candidate_id FROM g JOIN p USING (source_class_id, acquisition_method) WHERE b < 4",
-    "label_closure": _REC + ", up(child, ancestor, level) AS (SELECT child, parent, 1 FROM tr UNION ALL SELECT up.child, tr.parent, level + 1 FROM up JOIN tr ON tr.child = up.ancestor WHERE level < 8) SELECT child, ancestor, CAST(min(level) AS INTEGER) AS level FROM up GROUP BY 1, 2",
+    "label_closure": _REC + ", up(child, ancestor, level) AS (SELECT child, parent, 1 FROM tr UNION ALL SELECT up.child, tr.parent, level + 1 FROM up JOIN tr ON tr.child = up.ancestor WHERE level < 60) SELECT child, ancestor, CAST(min(level) AS INTEGER) AS level FROM up GROUP BY 1, 2",
     "label_descendants": _REC + ", dn(root, node, level) AS (SELECT child, child, 0 FROM tr WHERE parent = 'root' UNION ALL SELECT dn.root, tr.child, level + 1 FROM dn JOIN tr ON tr.parent = dn.node WHERE level < 2), d AS (SELECT root, node, min(level) AS level FROM dn GROUP BY 1, 2) SELECT root, node, CAST(level AS INTEGER) AS level FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, node) AS k FROM d) WHERE k <= 12",
     "concept_order": _CUR + ", b AS (SELECT concept, 0 AS part, min(build_row_id) AS o FROM bu WHERE len(images) > 0 GROUP BY 1 UNION ALL SELECT concept, 1, ordinal FROM ro), m AS (SELECT concept, min((part, o)) AS a FROM b GROUP BY 1) SELECT concept, CAST(row_number() OVER (ORDER BY a, concept) AS INTEGER) AS place FROM m",
     "sync_manifest": _CUR + f", l AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY built_at DESC, build_row_id DESC) AS k FROM bu), q AS (SELECT DISTINCT concept, built_at, num_images, {_path('p')} AS relpath FROM (SELECT concept, built_at, num_images, unnest(images) AS p FROM l WHERE k = 1) WHERE {_path('p')} IS NOT NULL), f AS (SELECT DISTINCT {_path('relpath')} AS relpath, created_at, deleted_at FROM image_file),"

@@ -28,7 +28,7 @@ def io_json(spark, sf_dir):
 def io_csv(spark, sf_dir):
     """The seed ledger out as one quoted CSV and back as text columns."""
     path = _place(spark)
-    s = table(spark, sf_dir, "scale250_seed_provenance").select("seed_id", "target_concept", "target_filename", "selection_note").where("target_concept is not null and selection_note is not null and target_filename is not null").distinct()
+    s = table(spark, sf_dir, "scale250_seed_provenance").select("seed_id", "target_concept", "target_filename", "selection_note").distinct()
     write_one_csv(s, path)
     return read_csv(spark, path, "seed_id long, target_concept string, target_filename string, selection_note string")
 
@@ -70,7 +70,7 @@ def stream_states(spark, sf_dir):
 
 SQL = {
     "io_json": "SELECT DISTINCT build_row_id, concept, CASE WHEN concept_to_images IS NULL THEN -1 ELSE CAST(len(concept_to_images) AS INTEGER) END AS n_listed FROM data_manifest_250",
-    "io_csv": "SELECT DISTINCT seed_id, target_concept, target_filename, selection_note FROM scale250_seed_provenance WHERE target_concept IS NOT NULL AND selection_note IS NOT NULL AND target_filename IS NOT NULL",
+    "io_csv": "SELECT DISTINCT seed_id, target_concept, target_filename, selection_note FROM scale250_seed_provenance",
     "io_partitioned": "SELECT layer, count(*) AS n, count(DISTINCT vector_id) AS n_vectors FROM replication_results WHERE model = 'Brenta-1B' AND layer IS NOT NULL GROUP BY 1",
     "stream_counts": "WITH e AS (SELECT date_trunc('day', ts) AS d, event_type, round(value, 2) AS value FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS w FROM events) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM e, m WHERE d + INTERVAL 1 DAY <= w GROUP BY 1, 2",
     "stream_states": "SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY 1",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Blanks around values are kept both ways.
-CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: How a null is written, so that it comes back as one and an empty text as an empty text.
+NULL = "\\N"
+CSV = {"header": True, "nullValue": NULL, "emptyValue": "", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -76,13 +78,19 @@ def read_shell_array(spark: SparkSession, path: str, variable: str) -> DataFrame
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, seconds (from Started to Finished), models (map of name to seconds from ``<<< OK: name (Ns)``)."""
+    """file, seconds (from the last Started to the last Finished), models: name to seconds of ``<<< OK: name (Ns)`` lines.
+
+    Names may have blanks; of a name's lines the last holds.
+    """
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    stamp = lambda w: F.try_to_timestamp(F.nullif(F.regexp_extract("value", rf"(?m)^{w}:\s*(\S+ \S+|\S+)", 1), F.lit("")))
+    last = lambda w: F.get(F.reverse(F.regexp_extract_all("value", F.lit(rf"(?m)^{w}:\s*(\S+ \S+|\S+)"), F.lit(1))), 0)
+    stamp = lambda w: F.try_to_timestamp(F.nullif(last(w), F.lit("")))
     seconds = (F.unix_micros(stamp("Finished")) - F.unix_micros(stamp("Started"))) / 1e6
-    ok = r"<<< OK: (\S+) \((\d+)s\)"
-    names, took = F.regexp_extract_all("value", F.lit(ok), F.lit(1)), F.regexp_extract_all("value", F.lit(ok), F.lit(2))
-    return t.select("file", seconds.alias("seconds"), F.map_from_arrays(F.array_distinct(names), F.transform(F.slice(took, 1, F.size(F.array_distinct(names))), lambda x: x.cast("int"))).alias("models"))
+    ok = r"(?m)^[ \t]*<<< OK: (.+) \((\d+)s\)[ \t\r]*$"
+    names, took = (F.reverse(F.regexp_extract_all("value", F.lit(ok), F.lit(i))) for i in (1, 2))
+    t = t.select("file", seconds.alias("seconds"), names.alias("_names"), took.alias("_took"))
+    each = F.array_distinct("_names")
+    return t.select("file", "seconds", F.map_from_arrays(each, F.transform(each, lambda n: F.element_at("_took", F.array_position("_names", n).cast("int")).cast("int"))).alias("models"))
 
 
 def write_one_csv(df: DataFrame, path: str, fields: list[str] | None = None, keep: bool = False) -> bool:

@@ -6,6 +6,7 @@ client for a live service gives the same pages by another ``fetch``.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -24,13 +25,13 @@ class SearchPages(DataSource):
         return "query string, page int, item_id string, url string, title string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PageReader(self.options["path"], int(self.options.get("max_pages", "1000")))
+        return PageReader(self.options["path"], int(self.options["max_pages"]) if "max_pages" in self.options else None)
 
 
 class PageReader(DataSourceReader):
-    """One partition a query; an equality on the query is pushed down, so other queries are not fetched."""
+    """One partition a query, read to its last page; more than ``max_pages``, where that is given, are an error. An equality on the query is pushed down, so other queries are not fetched."""
 
-    def __init__(self, path: str, max_pages: int):
+    def __init__(self, path: str, max_pages: int | None):
         self.path, self.max_pages, self.only = path, max_pages, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -53,7 +54,9 @@ class PageReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         query, token, seen = partition.value, None, set()
-        for page in range(self.max_pages if query is not None else 0):
+        for page in itertools.count() if query is not None else ():
+            if page == self.max_pages:
+                raise ValueError(f"{query}: more than {page} pages")
             found = self.fetch(query, page, token)
             if found is None:
                 return

@@ -143,6 +143,9 @@ def test_draws(spark):
 def test_closure_and_reach(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "b"), ("a", "c")], "child string, parent string")
     assert rows(closure(e)) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("x", "b", 1), ("x", "c", 2)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(None, 3), (20, 20)], "child int, parent int")
+    up = closure(chain)
+    assert up.where("child = 0").count() == 12 and up.where("child = 0").agg(F.max("level")).first()[0] == 12 and up.where("child = 20").count() == 1
     r = spark.createDataFrame([("c",)], "root string")
     assert rows(reachable(e, r, 1, 2).select("node", "level")) == [("a", 1), ("c", 0)]
 

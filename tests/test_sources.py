@@ -51,6 +51,9 @@ def test_panel_array_and_log(spark, tmp_path):
     (tmp_path / "l.log").write_text("Started: 2024-01-01T00:00:00\n<<< OK: m1 (12s)\n<<< OK: m2 (3s)\nFinished: 2024-01-01T00:01:30.5\n")
     r = files.read_run_log(spark, str(tmp_path / "l.log")).first()
     assert (r["seconds"], r["models"]) == (90.5, {"m1": 12, "m2": 3})
+    (tmp_path / "m.log").write_text("Started: 2024-01-01T00:00:00\n<<< OK: a (1s)\n  <<< OK: a (2s)\n<<< OK: b c (3s)\nStarted: 2024-01-01T00:01:00\nFinished: 2024-01-01T00:01:30\n")
+    r = files.read_run_log(spark, str(tmp_path / "m.log")).first()
+    assert (r["seconds"], r["models"]) == (30.0, {"a": 2, "b c": 3})
 
 
 def test_markdown(spark):
@@ -67,6 +70,8 @@ def test_search_pages(spark, tmp_path):
     df = spark.read.format("search_pages").option("path", str(tmp_path)).load()
     assert rows(df.select("query", "item_id")) == [("fig", "9"), ("pear", "1"), ("pear", "3")]
     assert rows(df.where("query = 'fig'").select("item_id")) == [("9",)]
+    with pytest.raises(Exception, match="more than 1 pages"):
+        spark.read.format("search_pages").option("path", str(tmp_path)).option("max_pages", "1").load().collect()
 
 
 def test_extract_uses_the_cache(spark):
