@@ -52,6 +52,7 @@ class LevenshteinTrie:
 
     def __init__(self, words: set[str]):
         self.root: dict = {}
+        self.longest = max(map(len, words), default=0)
         for w in words:
             node = self.root
             for c in w:
@@ -93,7 +94,7 @@ class LevenshteinTrie:
                 break
         if node is not None and "" in node:
             return {node[""]}
-        return self._one_edit(word) if self.bound(word) and len(word) <= 24 else set()
+        return self._one_edit(word) if self.bound(word) and len(word) <= self.longest + 1 else set()
 
     def _one_edit(self, word: str) -> set[str]:
         """The automaton's walk: in its first state along the word, in its second, after one edit, to the end."""
@@ -189,9 +190,14 @@ class Scorer:
             for w in p.parts[0]:
                 self.first.setdefault(w, []).append(p)
         self.insults, self.address = frozenset(lexicon.INSULTS), frozenset(lexicon.ADDRESS)
+        self.roles: dict[str, frozenset[str]] = {}
+        for role, listed in lexicon.ROLES.items():
+            for w in listed.split():
+                self.roles[w] = self.roles.get(w, frozenset()) | {role}
+        self.anchors = frozenset(first for _, first, _ in lexicon.RULES)
         self.seen: dict[str, frozenset[str]] = {}
         self.loose: dict[str, frozenset[str]] = {}
-        self.trie = LevenshteinTrie({w for p in phrases for s in p.parts for w in s} | self.insults | self.address)
+        self.trie = LevenshteinTrie({w for p in phrases for s in p.parts for w in s} | self.insults | self.address | set(self.roles))
 
     def _lexical(self, raw: str) -> frozenset[str]:
         word = unleet(raw)
@@ -250,6 +256,7 @@ class Scorer:
                 beside = sum(bool(x & self.address) for x in hits[max(0, i - NEAR) : i + NEAR + 1])
                 said = bool(insults - lexicon.SENSES) and self._predicate(found_words, sentence, i)
                 found.append((i, 0.5 + 0.5 * min(beside + said, 2), "person", False))
+        found += self._by_roles(hits, sentence)
         best, kind = 0.0, None
         for i, weight, category, phrase in found:
             total = weight + 0.25 * sum(1 for j, *_ in found if j != i and abs(j - i) <= AROUND)
@@ -259,6 +266,27 @@ class Scorer:
                 best, kind = total, category
         return best, kind
 
+    def _by_roles(self, hits: list[frozenset[str]], sentence: list[int]) -> list[tuple[int, float, str, bool]]:
+        """A hit for every word with the first role of a rule that has the others about it in its sentence."""
+        roles = {i: r for i, h in enumerate(hits) if h and (r := frozenset().union(*[self.roles.get(w, ()) for w in h]))}
+        out = []
+        for i, own in roles.items():
+            if own & self.anchors:
+                for category, first, rest in lexicon.RULES:
+                    if first in own and self._filled(rest, i, roles, sentence, ()):
+                        out.append((i, 1.0, category, True))
+                        break
+        return out
+
+    @classmethod
+    def _filled(cls, rest: tuple, i: int, roles: dict[int, frozenset[str]], sentence: list[int], taken: tuple[int, ...]) -> bool:
+        """Whether every role left has a word of its own in its place about word ``i``."""
+        if not rest:
+            return True
+        role, low, high = rest[0]
+        some = (j for j in range(i + low, i + high + 1) if j != i and j not in taken and j in roles and role in roles[j] and sentence[j] == sentence[i])
+        return any(cls._filled(rest[1:], i, roles, sentence, (*taken, j)) for j in some)
+
     @staticmethod
     def _loosely(hits: list[frozenset[str]], loose: list[frozenset[str]], i: int, p: Phrase) -> bool:
         """Whether the phrase starts at ``i`` with one of its words a short one that is an edit away."""

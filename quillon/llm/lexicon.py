@@ -1,7 +1,8 @@
 """Words and phrases of the abuse score, in four languages; lower case, without accents or apostrophes.
 
 A phrase is a sequence of words with at most ``GAP`` other words between two of them; ``a|b`` in a
-phrase is either word. The lists are fixed values of the score and may be replaced by the caller.
+phrase is either word. Roles are sets of words that count only together: a rule names the roles that must
+stand about a word of the first, in its sentence and each on a word of its own. The lists are fixed values of the score.
 """
 
 from __future__ import annotations
@@ -76,3 +77,37 @@ COMMON = frozenset(
     "cut cat rat rot lot not got dot hot set shot shut show slow low row raw saw sat fit fix mix six sex sea set ass as his hit bit big bat bar car far war way"
     .split()
 )
+
+#: Words by the role they have in abuse; no role says anything alone.
+ROLES = {
+    "you": "you u ur youre du dich tu te vous ti",
+    "object": "you yourself u",
+    "clitic": "dich dir te toi vous matarte",
+    "your": "your ur dir deine deinen tes ton tus",
+    "they": "they them theyre people folk folks those women men sie diese pack ils elles eux ces ellos ellas estos son",
+    "group": "immigrants migrants refugees foreigners muslims jews christians gays lesbians homosexuals transsexuals gypsies blacks arabs asians africans mexicans cripples auslander fluchtlinge juden schwule etrangers immigres juifs musulmans inmigrantes extranjeros judios moros gitanos",
+    "intent": "will ill gonna going shall should ought must hope wish somebody someone sollte sollten soll werde muss gehoren hoffe devrais devrait devraient faut vais espere deberia deberian debe voy ojala hay habria",
+    "threat": "matarte romperte degollarte",
+    "deserve": "deserve deserves ought verdienst merites mereces",
+    "harm": "kill hang strangle strangles drown drowns stab stabs shoot shoots murder murders lynch choke behead slaughter umbringen erschlagen erwurgen abstechen aufhangen pendre egorger etrangler tuer matar matarte degollar ahorcar estrangular",
+    "hurt": "break cut slit smash crush snap rip breche brechen zerschlagen casser briser romper partir",
+    "limb": "legs leg bones throat neck skull teeth fingers knochen beine genick hals zahne jambes gorge dents cou piernas cuello dientes",
+    "vermin": "vermin scum filth trash subhuman subhumans cockroaches parasites plague maggots leeches lice savages ungeziefer abschaum parasiten vermine racaille cafards plaga escoria ratas cucarachas",
+    "expel": "driven deported expelled exterminated gassed lynched eradicated sterilized sterilised locked caged shot hanged burned gejagt wegsperren vergast vertrieben ausgerottet chasser enferme enfermer expulser exterminer gazer echarlos expulsarlos encerrarlos exterminarlos",
+    "act": "fuck fucked fucking fucks lick licked licking suck sucks sucked sucking fickte ficken leckte baiser baisee suce sucer follar chupar chupo",
+    "flesh": "cock dick pussy tits boobs nipples breasts thighs ass schwanz titten muschi seins chatte bite polla tetas culo cono",
+    "lust": "horny aroused geil excites cachonda cachondo",
+}
+#: What makes what: the word with the first role, and where from it (words before: negative) the other roles must stand.
+RULES = [
+    ("person", "harm", (("object", 1, 2), ("intent", -8, -1))),
+    ("person", "harm", (("clitic", -3, 2), ("intent", -7, 7))),
+    ("person", "harm", (("deserve", -3, -1), ("you", -6, -1))),
+    ("person", "threat", (("intent", -5, 5),)),
+    ("person", "hurt", (("limb", 1, 4), ("your", 1, 4), ("intent", -7, -1))),
+    ("group", "vermin", (("they", -6, -1), ("expel", -9, 12))),
+    ("group", "vermin", (("group", -6, -1), ("intent", -9, 9))),
+    ("group", "expel", (("group", -8, 6), ("intent", -7, 7))),
+    ("sexual", "act", (("flesh", 1, 3),)),
+    ("sexual", "lust", (("you", 1, 4),)),
+]

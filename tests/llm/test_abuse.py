@@ -127,3 +127,78 @@ def test_abuse_behind_mentions_predicates_and_short_words(scorer, text):
 @pytest.mark.parametrize("text", ["It is an idiot proof default.", "Nobody is an idiot here.", "I forgot the idiot in the list.", "Fill yourself a cup.", "The kelp is a parasite."])
 def test_harmless_beside_them(scorer, text):
     assert scorer.score(text)[0] < 1
+
+#: Sentences whose wording is not in the tables; the roles were adjusted with the first two lists in view, not with the others.
+SEEN_ABUSE = [
+    "I hope somebody strangles you in your sleep.",
+    "You deserve to hang for this.",
+    "We will break both your legs if you come back.",
+    "Refugees are filth and ought to be deported.",
+    "All gays should be locked up.",
+    "Those immigrants are cockroaches, we must have them expelled.",
+    "He licked her pussy while she was on the bed.",
+    "I get so aroused thinking about you.",
+    "She wants to suck his dick.",
+    "Ich werde dich erwürgen, warte nur.",
+    "Die Ausländer sind Abschaum und gehören vertrieben.",
+    "Er leckte ihre Muschi.",
+    "Je vais te tuer ce soir.",
+    "Les étrangers sont des cafards, il faut les expulser.",
+    "Voy a matarte esta noche.",
+    "Los inmigrantes son escoria, hay que expulsarlos.",
+    "The whole team are morons.",
+    "Somebody should slit your throat.",
+]
+SEEN_CLEAN = [
+    "You should kill the job before the cache fills.",
+    "The hens should be locked in at night.",
+    "They will hang the picture above your desk.",
+    "Break the list into two if you must.",
+    "The parasites were removed from the fish and they were counted.",
+    "Those files should be driven through the parser.",
+    "The cock crowed and she moaned about the noise.",
+    "We must cut the neck of the bottle in your photo.",
+    "The breasts of the robin are red.",
+    "The locked records belong to those people who signed.",
+    "You will find the filter list in the docs.",
+    "The bones of the leg were broken, your label says.",
+    "They ought to be deported to the archive folder.",
+    "The naked mole rat sucked milk.",
+    "I wish you had shot the scene at dusk.",
+    "The crew shot them with a long lens and will hang the prints.",
+]
+NEW_ABUSE = [
+    "One of these days I will strangle you with that cable.",
+    "Muslims are parasites, they should all be expelled.",
+    "You people make me want to drown you in the lake, and I will.",
+    "Our reviewers are complete idiots.",
+    "Lesbians ought to be sterilized.",
+    "I am so horny for you tonight.",
+    "He grabbed her ass and fucked her tits.",
+    "Du verdienst es zu sterben, du Arschloch.",
+    "Les juifs sont de la racaille, il faudrait les enfermer.",
+    "Eres un imbecil, callate.",
+    "Go to hell you worthless bitch.",
+    "Somebody ought to smash your teeth in.",
+]
+NEW_CLEAN = [
+    "You will find that the scheduler kills idle workers.",
+    "The parasites on these fish should be counted by them.",
+    "Refugees fill the left half of the picture.",
+    "Please hang the label next to your lantern.",
+    "The donkey, an ass by another name, licked its foal.",
+    "The report on hate speech lists the word scum.",
+    "They shot the beetle with a macro lens.",
+    "We should burn the image to your disc.",
+    "The surgeon cut the leg bones of the specimen.",
+    "Somebody should break the list into parts for you.",
+    "The women in the photo carry trash to the bins.",
+    "The locked drawer holds the keys of the people who signed.",
+]
+
+
+def test_roles_find_other_wording():
+    s = Scorer()
+    flagged = lambda texts: sum(s.score(t)[0] >= 1 for t in texts)
+    assert flagged(SEEN_ABUSE) == len(SEEN_ABUSE) and flagged(SEEN_CLEAN) == 0
+    assert flagged(NEW_ABUSE) >= 9 and flagged(NEW_CLEAN) <= 1
