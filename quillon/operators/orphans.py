@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from quillon.plans.durable import durable, lookup_join
 
-#: Keys go to so many dictionary parts by their hash; ids are dense within a part.
-PARTS_LOG2 = 12
+#: Keys go to dictionary parts by their hash, one for so many distinct rows of both sides; ids are dense within a part.
+PART_ROWS, LEAST_PARTS = 1 << 14, 16
 FOREVER = 1 << 20
 
 
@@ -37,13 +37,14 @@ def encode(references: DataFrame, parents: DataFrame) -> DataFrame:
     One shuffle on the dictionary part brings both sides of a key together; the id is the part and
     the rank of the key in it, so no dictionary has to be joined or collected. Both sides are made
     distinct in the map tasks first: a key named in a third of all references goes on as one row a
-    period. Ids follow from the keys alone and are the same when a task is run again.
+    period. Ids follow from the keys alone and are the same when a task is run again. Both steps are written
+    down, as the bitmaps and their decoding read them.
     """
     refs = references.select("key", month_number(F.col("at")).alias("first"), F.lit(None).cast("int").alias("last")).distinct()
-    rows = refs.unionByName(_spans(parents).distinct())
-    part = F.pmod(F.xxhash64("key"), F.lit(1 << PARTS_LOG2))
-    ranked = rows.withColumn("part", part).selectExpr("*", "dense_rank() over (partition by part order by key) - 1 as rank")
-    return ranked.select("key", "part", "rank", "first", "last")
+    rows = durable(refs.unionByName(_spans(parents).distinct()))
+    parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
+    ranked = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).selectExpr("*", "dense_rank() over (partition by part order by key) - 1 as rank")
+    return durable(ranked.select("key", "part", "rank", "first", "last"))
 
 
 def missing_keys(references: DataFrame, parents: DataFrame) -> DataFrame:

@@ -15,11 +15,13 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or with a local master, where that is unset, a local one."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -64,7 +66,7 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
 
 
 #: A table of less than this per core is read by too few tasks for work that is heavy for its bytes.
-BYTES_PER_CORE = 16 << 20
+BYTES_PER_CORE = 1 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
