@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.durable import spread
+
 #: Where the vocabulary files lie; a parameter of all queries, never copied here.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
@@ -208,7 +210,7 @@ def _documents(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFr
     # Nearly all texts stop at the first condition. A run that it does not see, of mixed white space, is merely slower.
     some = F.exists(F.split("_text", " "), lambda part: F.length(part) >= FOLD_CHARS) | F.contains(F.col("_text"), F.lit(" " * FOLD_CHARS))
     long = F.coalesce(some & F.col("_text").rlike(LONG_RUN), F.lit(False))
-    return docs.where(~long), docs.where(long)
+    return spread(docs.where(~long), "_id"), docs.where(long)
 
 
 def _heaped(long: DataFrame, path: str) -> DataFrame:
