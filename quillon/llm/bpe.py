@@ -28,7 +28,7 @@ PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+
 FOLD_CHARS = 256
 LONG_RUN = rf"\p{{L}}{{{FOLD_CHARS}}}|\p{{N}}{{{FOLD_CHARS}}}|[{_S}]{{{FOLD_CHARS}}}|[^{_S}\p{{L}}\p{{N}}]{{{FOLD_CHARS}}}"
 #: Most frequent words that are merged once for all texts; others are merged where they stand. No result depends on it.
-FREQUENT, _PLACES = 65_536, 1 << 17
+FREQUENT, _PLACES = 32_768, 1 << 16
 _BITS = 17
 _SIZE = 1 << _BITS
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.bpe import decode, encode, token_counts
 from quillon.llm.packing import fill_containers, fill_report
+from quillon.plans.durable import durable
 from quillon.plans.tables import table
 
 CAPACITY = 2048
@@ -21,7 +22,8 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    # Written down, or the optimizer would count the tokens once for every use of the size.
+    sizes = durable(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"record": "doc_id", "size": "n_tokens"})
 
 
