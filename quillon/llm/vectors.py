@@ -44,6 +44,10 @@ _PAIRS = _USABLE + ", p AS (SELECT a.vector_id AS a, b.vector_id AS b, list_cosi
 _MEMBERS = _PAIRS + ", m AS (SELECT a AS vector_id, least(a, min(b)) AS cluster_id FROM p WHERE c >= 0.8 GROUP BY a)"
 SQL = {
     "p1_top10": _PAIRS + " SELECT a AS vector_id, CAST(rn AS INTEGER) AS position, b AS neighbour_id, round(c, 9) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rn FROM p WHERE a % 20 = 0) WHERE rn <= 10",
+    "p2_clusters": _MEMBERS
+    + ", g AS (SELECT x.cluster_id, x.vector_id AS a, avg(p.c) AS mc FROM m x JOIN p ON p.a = x.vector_id JOIN m y ON y.vector_id = p.b AND y.cluster_id = x.cluster_id GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(mc, 6) DESC, a) AS rn, count(*) OVER (PARTITION BY cluster_id) AS size FROM g) SELECT cluster_id, max(size) AS size, list(a ORDER BY rn) FILTER (WHERE rn <= 3) AS typical_members FROM k GROUP BY 1",
     "p2_found": _MEMBERS + " SELECT cluster_id, vector_id FROM m",
 }
+#: The exact pairs, of which p1_found may miss some: tests measure its recall by them.
+EXACT = {"p1_found": _PAIRS + ", r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rn FROM p WHERE round(c, 9) >= 0.8) SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r WHERE rn <= 10"}
 QUERIES = {"p1_found": p1_found, "p1_top10": p1_top10, "p2_found": p2_found, "p2_clusters": p2_clusters}

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -6,7 +8,9 @@ from quillon.llm.clusters import cluster_vectors, describe
 from quillon.llm.pstable import HashParams, _merge, candidates, probing_sequence
 from quillon.llm.shards import centres_of, visited
 from quillon.llm.similar import similar_vectors
-from tests.conftest import rows
+from quillon.llm.vectors import EXACT, p1_found
+from tests.conftest import SMALL, rows
+from tests.sqlcheck import connect
 
 SCHEMA = "id long, part string, v array<float>, extra string"
 
@@ -178,3 +182,10 @@ def test_tree_and_ward():
     for c, _ in comps:
         sizes[c] = sizes.get(c, 0) + 1
     assert {lo: k for lo, k in merged.values() if k > 1} == sizes
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_recall_of_the_query(spark):
+    found = {tuple(r) for r in p1_found(spark, SMALL).collect()}
+    exact = set(connect(SMALL).execute(EXACT["p1_found"]).fetchall())
+    assert len(found & exact) >= 0.98 * len(exact) and len(found & exact) >= 0.98 * len(found)
