@@ -149,7 +149,7 @@ def paired_models(vecs: DataFrame, model: str = "model") -> DataFrame:
 
 
 def cka_pairs(vecs: DataFrame, model: str = "model", normalise: bool = True) -> DataFrame:
-    """model_a, model_b, cka: linear CKA of the column-centred matrices over the concepts that both models have."""
+    """model_a, model_b, cka: linear CKA of the column-centred matrices over the concepts that both models have (none: no row)."""
     pairs = paired_models(vecs, model).withColumn("_pair", F.concat_ws("\u0001", "model_a", "model_b"))
     sides = pairs.select("_pair", "model_a", "model_b", F.explode(F.array("model_a", "model_b")).alias("_side"))
     rows = vecs.select(F.col(model).alias("_side"), "concept", "x").join(sides, "_side")
@@ -159,11 +159,12 @@ def cka_pairs(vecs: DataFrame, model: str = "model", normalise: bool = True) ->
         at = dict(groups(table, ["_side"]))
         x, y = ({c: v for c, v in zip(table.column("concept").take(pa.array(at[k,])).to_pylist(), matrix(table.column("x").take(pa.array(at[k,]))))} for k in (a, b))
         shared = sorted(x.keys() & y.keys())
-        value = None
+        n = min(len(shared), 1)
+        value = []
         if shared:
             both = [np.array([z[c] for c in shared]) for z in (x, y)]
-            value = linear_cka(*[unit_rows(z) if normalise else z for z in both])
-        return pa.table([table.column("model_a").slice(0, 1), table.column("model_b").slice(0, 1), pa.array([value], pa.float64())], names=["model_a", "model_b", "cka"])
+            value = [linear_cka(*[unit_rows(z) if normalise else z for z in both])]
+        return pa.table([table.column("model_a").slice(0, n), table.column("model_b").slice(0, n), pa.array(value, pa.float64())], names=["model_a", "model_b", "cka"])
 
     kind = dict(vecs.dtypes)[model]
     return rows.select("_pair", "model_a", "model_b", "_side", "concept", "x").groupBy("_pair").applyInArrow(cka, f"model_a {kind}, model_b {kind}, cka double")

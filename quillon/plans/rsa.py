@@ -277,7 +277,7 @@ SQL = {
     + f" s AS (SELECT model, compound, {_cos('c', 'a')} AS s1, {_cos('c', 'b')} AS s2, {_cos('c', '(a + b)')} AS additive FROM j GROUP BY ALL), t AS (SELECT *, 1 - 2 * abs(0.5 - CASE WHEN s1 + s2 > 0 THEN s2 / (s1 + s2) ELSE 0.5 END) AS balance FROM s)"
     + " SELECT model, round(avg(balance), 6) + 0.0 AS balance, round(avg(additive), 6) + 0.0 AS additive, round(avg(balance) FILTER (WHERE compound % 2 = 0), 6) + 0.0 AS balance_v1, round(avg(balance) FILTER (WHERE compound % 2 = 1), 6) + 0.0 AS balance_v2, round(avg(balance) FILTER (WHERE compound % 2 = 1) - avg(balance) FILTER (WHERE compound % 2 = 0), 6) + 0.0 AS balance_change FROM t GROUP BY 1",
     "run_continuity": _RUNS + "," + rho_cte("rq", "re", "model", "run") + " SELECT model, round(rho, 6) + 0.0 AS rho, n_edges FROM rq",
-    "run_changes": _RUNP + ", t AS (SELECT least(kind_a, kind_b) || ' x ' || greatest(kind_a, kind_b) AS types, change FROM ch) SELECT types, round(avg(change), 6) + 0.0 AS mean_change, round(median(change), 6) + 0.0 AS median_change, round(avg(abs(change)), 6) + 0.0 AS mean_abs, round(min(change), 6) + 0.0 AS least, round(max(change), 6) + 0.0 AS most, count(*) AS n FROM t GROUP BY ROLLUP (types)",
+    "run_changes": _RUNP + ", t AS (SELECT least(kind_a, kind_b) || ' x ' || greatest(kind_a, kind_b) AS types, change FROM ch) SELECT types, round(avg(change), 6) + 0.0 AS mean_change, round(median(change), 6) + 0.0 AS median_change, round(avg(abs(change)), 6) + 0.0 AS mean_abs, round(min(change), 6) + 0.0 AS least, round(max(change), 6) + 0.0 AS most, count(*) AS n FROM t GROUP BY ROLLUP (types) HAVING count(*) > 0",
     "run_extremes": _RUNP + ", r AS (SELECT model_a, model_b, round(change, 6) + 0.0 AS change FROM ch), u AS (SELECT *, row_number() OVER (ORDER BY change DESC, model_a, model_b) AS up, row_number() OVER (ORDER BY change, model_a, model_b) AS down FROM r) SELECT model_a, model_b, change, 'up' AS side FROM u WHERE up <= 8 UNION ALL SELECT model_a, model_b, change, 'down' FROM u WHERE down <= 8",
     "run_pair_sets": _RUNP + ", a AS (SELECT model_a, model_b FROM rp WHERE run = 'a' AND round(rho, 6) > 0), b AS (SELECT model_a, model_b FROM rp WHERE run = 'b' AND round(rho, 6) > 0) SELECT *, 'new' AS state FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'lost' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'kept' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)",
 }
